@@ -51,15 +51,23 @@ class Store:
     """Intermediate tables, written as Parquet in the shared folder and read back.
 
     Writing cuts lineage, and unlike a cached block the files outlive a lost executor. ``drop`` removes
-    a table as soon as a later one replaces it, so that iterations keep a bounded amount of disk.
+    a table as soon as a later one replaces it, so that iterations keep a bounded amount of disk; the shuffle
+    files of a write go as soon as it is done.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

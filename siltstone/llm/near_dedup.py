@@ -277,3 +277,24 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     single = counts.where("n = 1 and doc_id is not null").select("doc_id")
     repeated = counts.where("n > 1 and doc_id is not null").select("doc_id")
     return named.join(single, "doc_id", "left_semi").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+#: The same rows by a join on shared shingles and a recursive walk over links; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s
+), t AS (SELECT doc_id, hash(unnest(sh)) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n_shingles + b.n_shingles - k)
+), e AS (SELECT x, y FROM l UNION SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.d
+), m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT n.doc_id, n_shingles, c AS component_id, n.doc_id = c AS kept FROM n JOIN m ON m.d = n.doc_id
+"""
