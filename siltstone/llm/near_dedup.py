@@ -204,7 +204,7 @@ class Linker:
         classes = put("classes", full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
         nodes = classes.where(F.size("bands") > 0).select("node", F.col("n_shingles").alias("n"), "bands")
         banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
-        heads = banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
+        heads = put("heads", banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
         members = put("members", banded.join(heads, "key"))
         stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         tested = put("tested", self.candidates(stars, nodes))

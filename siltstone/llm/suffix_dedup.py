@@ -128,16 +128,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) ->
     store = C.Store(spark, "suffix-dedup")
     named = docs.select(F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     parse = store.put("parse", named.select("row", "text").mapInArrow(_parse(length, width), "row long, start long, n int, trigger long, content long"))
-    again = parse.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("trigger")
+    # Keys to join on are written first: a join of two plain exchanges can split the partitions of hot keys.
+    again = store.put("again", parse.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("trigger"))
     hot = store.put("hot", parse.join(again, "trigger", "left_semi").select("row", "start", "n", F.xxhash64("trigger", "content").alias("phrase"), "trigger"))
     store.drop("parse")
     book = store.put("book", hot.groupBy("phrase").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("row", "start", "n", "trigger")).alias("first")).select("phrase", "weight", "first.*"))
-    several = book.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("trigger")
+    several = store.put("several", book.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("trigger"))
     chosen = book.join(several, "trigger", "left_semi")
     by_row = chosen.groupBy("row").agg(F.collect_list(F.struct("start", "n", "weight", "phrase")).alias("phrases"))
     once = named.select("row", "text")
     suffixes = store.put("suffixes", once.join(by_row, "row").select("row", "text", "phrases").transform(lambda d: _first_of_row(d)).mapInArrow(_suffixes(length), "suffix long, weight long, phrase long, off int"))
-    classes = suffixes.groupBy("suffix").agg(F.sum("weight").alias("total")).where("total > 1").select("suffix")
+    classes = store.put("classes", suffixes.groupBy("suffix").agg(F.sum("weight").alias("total")).where("total > 1").select("suffix"))
     partly = suffixes.where("weight = 1").join(classes, "suffix").groupBy("phrase").agg(F.array_sort(F.collect_list("off")).alias("offs"))
     marks = store.put("marks", partly.select("phrase", "offs"))
     store.drop("suffixes")
