@@ -11,7 +11,9 @@
    and by the register matches, corrected for chance collisions, with six standard errors of slack; what
    is left is confirmed on the full shingle sets of both texts. Confirmed links give components.
 5. Then only buckets that still hold several components are looked at: members outside the bucket's largest
-   component are paired with all members of other components. So each pair of classes in a bucket is
+   component are held against all members of other components, in blocks of bounded size. A block emits
+   only pairs that may be similar enough, judged by 16-bit prints of the whole set (their overlap is never
+   below the true one) or, for sets over ``WHOLE``, by the registers. So each pair of classes in a bucket is
    confirmed, refused or already joined, without writing out all pairs of a group.
 
 Components are found by alternating large-star and small-star steps (Kiveris et al.), with every state
@@ -36,6 +38,10 @@ REGISTERS = 1 << BUCKET_BITS
 BANDS = REGISTERS // 4
 #: Below this many shingles the registers repeat each other too much for an estimate; such pairs are confirmed directly.
 ESTIMATE_FROM = 256
+#: Sets of up to this many shingles carry a 16-bit print of each.
+WHOLE = 1024
+#: Rows on either side of a block of a bucket.
+BLOCK = 2048
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, size=(4096, REGISTERS))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -115,7 +121,8 @@ def _sketch(width: int, least: int):
                 at = np.zeros(len(sets) + 1, np.int32)
                 at[1:] = np.cumsum(n >= least) * BANDS
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                small = pa.array([(s >> U(40)).astype("<u2").tobytes() if least <= len(s) <= WHOLE else b"" for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, small], names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "small"])
 
     return run
 
@@ -125,7 +132,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     C.ship(docs.sparkSession)
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_sketch(width, least), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return source.mapInArrow(_sketch(width, least), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, small binary")
 
 
 def similar(shared: int, left: int, right: int, percent: int) -> bool:
@@ -201,8 +208,8 @@ class Linker:
         put = self.store.put
         rows = put("rows", sketches(self.docs, self.width, self.percent))
         full = rows.where("n_shingles > 0 and doc_id is not null")
-        classes = put("classes", full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-        nodes = classes.where(F.size("bands") > 0).select("node", F.col("n_shingles").alias("n"), "bands")
+        classes = put("classes", full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("small").alias("small")))
+        nodes = classes.where(F.size("bands") > 0).select("node", F.col("n_shingles").alias("n"), "bands", "small")
         banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
         heads = put("heads", banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
         members = put("members", banded.join(heads, "key"))
@@ -217,7 +224,7 @@ class Linker:
             extra = put("extra", self.confirmed(more))
             final = parts if extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
         groups = classes.where("copies > 1").select("fp1", "fp2", "n_shingles", "node")
-        placed = rows.drop("bands").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
+        placed = rows.drop("bands", "small").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
         least = placed.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
         own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
         return least.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -228,10 +235,54 @@ class Linker:
         mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
         open_ = self.store.put("open", placed.join(mixed, "key", "left_semi"))
         sizes = open_.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-        rest = open_.join(largest, "key").where("part <> largest").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-        pairs = rest.join(open_, "key").where("part <> px").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        return self.candidates(pairs.join(tested, ["a", "b"], "left_anti"), nodes)
+        totals = self.store.put("totals", sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("n_all"), F.max("n").alias("n_largest")))
+        facts = nodes.select("node", "n", "small", F.when(F.col("n") > WHOLE, F.col("bands")).alias("bands"))
+        full = self.store.put("full", open_.join(totals, "key").join(facts, "node"))
+        number = lambda n: F.ceil(n / BLOCK).cast("int")
+        left_blocks, right_blocks = number(F.col("n_all") - F.col("n_largest")), number(F.col("n_all"))
+        salt = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+        all_ = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+        columns = ["key", "l", "r", "node", "part", "n", "small", "bands"]
+        rest = full.where("part <> largest").withColumn("l", salt(left_blocks)).withColumn("r", all_(right_blocks)).select(*columns)
+        every = full.withColumn("r", salt(right_blocks)).withColumn("l", all_(left_blocks)).select(*(F.col(c).alias(f"{c}_") for c in columns))
+        pairs = rest.groupBy("key", "l", "r").cogroup(every.groupBy("key_", "l_", "r_")).applyInArrow(_block(self.percent), "a long, b long")
+        return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _block(percent: int):
+    least = percent / 100
+    slack = 6 * (least * (1 - least) / REGISTERS) ** 0.5
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if left.num_rows and right.num_rows:
+            node, part, n = (right[c].to_numpy() for c in ("node_", "part_", "n_"))
+            cells = right["small_"].to_pylist()
+            flat = np.frombuffer(b"".join(cells), "<u2")
+            ends = np.cumsum([len(c) // 2 for c in cells])
+            large = np.flatnonzero(n > WHOLE)
+            bands = np.array([right["bands_"][int(i)].as_py() for i in large], dtype=np.int64).view("<u2").reshape(len(large), REGISTERS)
+            for i in range(left.num_rows):
+                x, own, size, cell, own_bands = (left[c][i].as_py() for c in ("node", "part", "n", "small", "bands"))
+                ok = (part != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+                if not ok.any():
+                    continue
+                if size <= WHOLE:
+                    times = np.zeros(1 << 16, np.int32)
+                    times[np.frombuffer(cell, "<u2")] = 1
+                    sums = np.concatenate([[0], np.cumsum(times[flat])])
+                    shared = np.minimum(sums[ends] - sums[np.concatenate([[0], ends[:-1]])], np.minimum(n, size))
+                    ok &= (n > WHOLE) | (100 * shared >= percent * (n + size - shared))
+                else:
+                    same = (bands == np.array(own_bands, dtype=np.int64).view("<u2")).mean(axis=1)
+                    ok[large[same < least - slack]] = False
+                hits = node[ok]
+                found_a.append(np.minimum(hits, x))
+                found_b.append(np.maximum(hits, x))
+        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def components(links: DataFrame, store: C.Store, label: str, most: int = 60) -> DataFrame:
