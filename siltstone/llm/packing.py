@@ -100,6 +100,11 @@ def plan(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIER
     rest.sort()
     sizes = [r[0] for r in rest]
 
+    def put_back(n: int, item: int, start: int) -> None:
+        at = bisect.bisect_right(sizes, n)
+        rest.insert(at, (n, item, start))
+        sizes.insert(at, n)
+
     def fill(gap: int, pieces: list[tuple[int, int, int]]) -> None:
         """The longest item that fits, again and again; then one item cut to the gap. Only what was routed below the window's tier, or is left of it, is at hand."""
         while gap and rest:
@@ -114,9 +119,7 @@ def plan(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIER
             pieces.append((item, start, took))
             gap -= took
             if n > took:
-                at = bisect.bisect_right(sizes, n - took)
-                rest.insert(at, (n - took, item, start + took))
-                sizes.insert(at, n - took)
+                put_back(n - took, item, start + took)
 
     for below, tier in reversed(list(zip((0, *tiers), tiers, strict=False))):
         while rest and rest[-1][0] > below:
@@ -128,8 +131,11 @@ def plan(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIER
                 rest.append((n, item, start))
                 sizes.append(n)
                 break
-            pieces = [(item, start, n)]
-            fill(tier - n, pieces)
+            took = min(n, tier)  # longer only where a longer tier's last window could not be filled
+            pieces = [(item, start, took)]
+            if n > took:
+                put_back(n - took, item, start + took)
+            fill(tier - took, pieces)
             done.append((tier, pieces))
     left = sum(sizes)
     size = window
