@@ -40,6 +40,8 @@ BANDS = REGISTERS // 4
 ESTIMATE_FROM = 256
 #: Sets of up to this many shingles carry a 16-bit print of each.
 WHOLE = 1024
+#: Up to this many ids (16 MB) are broadcast to pick out the texts to move; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Rows on either side of a block of a bucket.
 BLOCK = 2048
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, size=(4096, REGISTERS))
@@ -196,10 +198,11 @@ class Linker:
         small = F.least("na", "nb") < ESTIMATE_FROM
         return both.where(sizes).where(small | (estimate(F.col("bandsa"), F.col("bandsb"), F.col("na"), F.col("nb")) >= least - slack)).select("a", "b")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, label: str) -> DataFrame:
         """Pairs whose full shingle sets are similar enough. Only texts that occur in a pair are moved."""
-        involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.join(involved, self.docs["doc_id"] == involved["id"], "left_semi")
+        involved = self.store.put(f"involved-{label}", pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        small = involved.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(involved) if small else involved, self.docs["doc_id"] == involved["id"], "left_semi")
         left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return both.mapInArrow(_confirm(self.width, self.percent), "a long, b long").distinct()
@@ -215,13 +218,13 @@ class Linker:
         members = put("members", banded.join(heads, "key"))
         stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
         tested = put("tested", self.candidates(stars, nodes))
-        links = put("links", self.confirmed(tested))
+        links = put("links", self.confirmed(tested, "first"))
         parts = put("parts", components(links, self.store, "first"))
         more = put("more", self.leftover(members, parts, tested, nodes))
         if more.isEmpty():
             final = parts
         else:
-            extra = put("extra", self.confirmed(more))
+            extra = put("extra", self.confirmed(more, "second"))
             final = parts if extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
         groups = classes.where("copies > 1").select("fp1", "fp2", "n_shingles", "node")
         placed = rows.drop("bands", "small").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))

@@ -121,7 +121,7 @@ def _search(k: int):
         for i, c in enumerate(cells):
             sizes.setdefault(_width(c), []).append(i)
         out = []
-        asked, floors, q_cells = queries["vec_id"].to_numpy(), queries["floor"].to_numpy(), queries["v"].to_pylist()
+        asked, floors, q_cells = queries["asked"].to_numpy(), queries["floor"].to_numpy(), queries["asked_v"].to_pylist()
         for width, at in sizes.items():  # vectors of different lengths have no inner product
             mine = [i for i, c in enumerate(q_cells) if _width(c) == width]
             if not mine or not width:
@@ -165,7 +165,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, shard_
     lowest = F.lit(-float("inf"))
 
     def search(queries: DataFrame) -> DataFrame:
-        return spread.groupBy("shard", "block").cogroup(queries.select("shard", "block", "vec_id", "v", "floor").groupBy("shard", "block")).applyInArrow(_search(k), schema)
+        asking = queries.select(F.col("shard").alias("at_shard"), F.col("block").alias("at_block"), F.col("vec_id").alias("asked"), F.col("v").alias("asked_v"), "floor")
+        return spread.groupBy("shard", "block").cogroup(asking.groupBy("at_shard", "at_block")).applyInArrow(_search(k), schema)
 
     first = store.put("first", search(queries.withColumn("shard", F.col("home")).withColumn("floor", lowest)))
     floors = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "low")
