@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, views
+from . import relational, retrieval_queries, views
 
-FLAGSHIP = "p1_exact_lookup"
+FLAGSHIP = "hybrid_rrf"
 
 
 def _sql(body: str):
@@ -17,5 +17,5 @@ def _sql(body: str):
     return run
 
 
-QUERIES = {name: _sql(body) for name, body in relational.SQL.items()}
-ORACLES = {name: views.with_views(body) for name, body in relational.SQL.items()}
+QUERIES = {name: _sql(body) for name, body in relational.SQL.items()} | retrieval_queries.QUERIES
+ORACLES = {name: views.with_views(body) for name, body in relational.SQL.items()} | retrieval_queries.ORACLES
