@@ -235,6 +235,8 @@ def test_mixing(docs, none):
     assert abs(sum(v for k, v in fitted.items() if k[0] == "a") - 0.5) < 1e-6 and abs(sum(v for k, v in fitted.items() if k[1] == "x") - 0.2) < 1e-6
     odds = lambda c: c[("a", "x", "t")] * c[("b", "y", "t")] / c[("a", "y", "t")] / c[("b", "x", "t")]
     assert abs(odds(fitted) - odds(cells)) < 1e-6  # raking keeps the table's interactions
+    assert mixing.scale({1: 0.01, 2: 0.39, 3: 0.6}, {1: 50.0, 2: 1.3, 3: 0.8}) == 1.3  # a rare cell does not set the scale
+    assert mixing.scale({1: 0.5, 2: 0.5}, {1: 50.0, 2: 0.5}) == 50.0 and mixing.scale({}, {}) == 1.0
 
 
 def test_top_k(spark):
