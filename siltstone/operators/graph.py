@@ -1,15 +1,26 @@
 """Breadth-first reads of an edge table (src, dst, relation), level by level.
 
 Each level is one join of the edges with a frontier of distinct nodes, so a hub's edges are read once per
-level, however many paths lead to it. Whether a frontier is broadcast is left to the optimizer, which knows its size.
+level, however many paths lead to it. A frontier is checkpointed in the shared folder, as each later level reads it
+twice; whether it is broadcast is left to the optimizer, which then knows its size.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """Checkpoints in spark.checkpoint.dir; in a temporary folder only where that is unset."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    return frame.checkpoint()
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "relation")
     return forward.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), F.concat("relation", F.lit(" (rev)")).alias("relation"))).where("node is not null and next is not null")
@@ -26,7 +37,7 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     for level in range(1, depth + 1):
         reached = frontier.select("node", "path").join(steps, "node").select(F.col("next").alias("node"), F.concat("path", F.lit(" > "), "next").alias("path"))
         fresh = reached.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
-        frontier = fresh.select("node", F.lit(level).alias("level"), "path")
+        frontier = cut(fresh.select("node", F.lit(level).alias("level"), "path"))
         seen = seen.unionByName(frontier)
     return seen
 
