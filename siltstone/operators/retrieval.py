@@ -1,11 +1,14 @@
 """Lexical, vector and hybrid retrieval for many questions at once.
 
-Questions are a small table (id, text, vector); records and postings are large. Clearance is filtered
+Questions, records, vectors and postings may all be large; none is broadcast or collected. Clearance is filtered
 before ranking, so a caller gets full pages of what they may see.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +17,8 @@ from pyspark.sql import Window as W
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 10
 #: The constant of reciprocal rank fusion (Cormack, Clarke and Buettcher).
 RRF_K = 60
+#: Vectors of a shard and questions of a block, at about the most: a task scores one of each against the other.
+SHARD_ROWS, BLOCK_QUESTIONS, BLOCK_TEXTS = 8192, 8192, 1024
 
 
 def terms(text):
@@ -36,25 +41,120 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(records: DataFrame, questions: DataFrame, k: int = 10, clearance: int = 3) -> DataFrame:
-    """question, id, score, rank. Only postings of asked terms are kept before the aggregates."""
-    seen = records.where(F.col("clearance") <= clearance)
-    asked = questions.select("question", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+def _lexical(k: int):
+    """The k records of a shard with the largest sums of their shared words' weights, for each question of a block. Nested, so that it is sent by value."""
+
+    def run(hits: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [pa.table({"question": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if hits.num_rows and asked.num_rows:
+            ids, doc = np.unique(hits["id"].to_numpy(), return_inverse=True)
+            names, row = np.unique(asked["question"].to_numpy(), return_inverse=True)
+            words = pc.unique(asked["asked_term"])
+            of_hit, of_ask = (pc.index_in(c, value_set=words).to_numpy() for c in (hits["term"], asked["asked_term"]))
+            by_hit, by_ask = np.argsort(of_hit, kind="stable"), np.argsort(of_ask, kind="stable")
+            doc, weight, row = doc[by_hit], hits["weight"].to_numpy()[by_hit], row[by_ask]
+            edges = np.arange(len(words) + 1)
+            at, at_ask = np.searchsorted(of_hit[by_hit], edges), np.searchsorted(of_ask[by_ask], edges)
+            score = np.zeros((len(names), len(ids)))
+            for t in np.nonzero(np.diff(at))[0]:
+                d, w, q = doc[at[t] : at[t + 1]], weight[at[t] : at[t + 1]], row[at_ask[t] : at_ask[t + 1]]
+                if len(d) * 8 > len(ids):
+                    score[q] += np.bincount(d, weights=w, minlength=len(ids))
+                else:
+                    np.add.at(score, (q[:, None], d[None, :]), w[None, :])
+            for name, line in zip(names, score, strict=True):
+                some = np.nonzero(line)[0]
+                value = np.round(line[some], 6)
+                if len(some) > k:
+                    high = value >= np.partition(value, -k)[-k]
+                    some, value = some[high], value[high]
+                best = np.lexsort((ids[some], -value))[:k]
+                parts.append(pa.table({"question": pa.array(np.full(len(best), name), pa.int64()), "id": pa.array(ids[some[best]], pa.int64()), "score": pa.array(value[best], pa.float64())}))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _home(name: str, m: int):
+    return F.pmod(F.xxhash64(name), F.lit(m)).cast("int")
+
+
+def bm25(records: DataFrame, questions: DataFrame, k: int = 10, clearance: int = 3, shard_rows: int = SHARD_ROWS, block_questions: int = BLOCK_TEXTS) -> DataFrame:
+    """question, id, score, rank. Only postings of asked terms are kept before the aggregates.
+
+    A weighted posting goes to each block of questions that asks its term, and is there summed for a shard of records at a
+    time: a row for each record and question that share a word would be many times the input. Rows without an id take no part.
+    """
+    seen = records.where((F.col("clearance") <= clearance) & F.col("id").isNotNull())
+    asking = questions.where("question is not null")
+    n_seen, n_asking = seen.count(), asking.count()
+    shards, blocks = max(1, -(-n_seen // shard_rows)), max(1, -(-n_asking // block_questions))
+    asked = asking.select(F.col("question").cast("long").alias("question"), F.explode(F.array_distinct(terms(F.col("text")))).alias("asked_term")).distinct().withColumn("at_block", _home("question", blocks))
+    wanted = asked.select(F.col("asked_term").alias("term"), F.col("at_block").alias("block")).distinct()
     size = seen.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col("content")))).alias("mean"))
-    hits = postings(seen).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = postings(seen).join(wanted.select("term").distinct(), "term", "left_semi")
     rarity = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(rarity, "term").join(asked, "term").crossJoin(F.broadcast(size)).groupBy("question", "id").agg(F.round(F.sum(part), 6).alias("score"))  # size is one row
-    return top(scored, k).select("question", "id", "score", "rank")
-
-
-def cosine(vectors: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
-    """question, id, score, rank of vectors (id, v) for questions (question, q): a bounded question table is broadcast."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.join(F.broadcast(questions), F.col("id") != F.col("question"))
-    score = dot(F.col("v"), F.col("q")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    return top(both.select("question", "id", F.round(score, 6).alias("score")), k)
+    weighted = hits.join(rarity, "term").join(wanted, "term").crossJoin(F.broadcast(size))  # size is one row
+    held = weighted.select(F.col("id").cast("long").alias("id"), "term", "block", part.alias("weight")).withColumn("shard", _home("id", shards))
+    spread = asked.withColumn("at_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = held.groupBy("shard", "block").cogroup(spread.groupBy("at_shard", "at_block")).applyInArrow(_lexical(k), "question long, id long, score double")
+    return top(found, k).select("question", "id", "score", "rank")
+
+
+def _nearest(k: int):
+    """The k best vectors of a shard for each question of a block; ties to the smaller id. Nested, so that it is sent by value."""
+
+    def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        def unit(column: pa.ChunkedArray, rows: list[int]) -> np.ndarray:
+            x = np.array(column.take(rows).to_pylist(), np.float64)
+            return x / np.sqrt((x**2).sum(axis=1))[:, None]
+
+        def by_width(column: pa.ChunkedArray) -> dict[int, list[int]]:
+            out: dict[int, list[int]] = {}
+            for row, n in enumerate(pc.list_value_length(column).to_pylist()):
+                out.setdefault(n, []).append(row)
+            return out
+
+        parts = [pa.table({"question": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        held, asking = by_width(vectors["v"]), by_width(questions["q"])
+        for width in held.keys() & asking.keys():  # vectors of different lengths have no angle
+            x, ids = unit(vectors["v"], held[width]), vectors["id"].to_numpy()[held[width]]
+            q, asked = unit(questions["q"], asking[width]), questions["question"].to_numpy()[asking[width]]
+            for at in range(0, len(q), 256):
+                names = asked[at : at + 256]
+                score = np.round(q[at : at + 256] @ x.T, 6)
+                score[names[:, None] == ids[None, :]] = -np.inf
+                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(names), -np.inf)
+                row, col = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+                order = np.lexsort((ids[col], -score[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                parts.append(pa.table({"question": pa.array(names[row[best]], pa.int64()), "id": pa.array(ids[col[best]], pa.int64()), "score": pa.array(score[row[best], col[best]], pa.float64())}))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def cosine(vectors: DataFrame, questions: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, block_questions: int = BLOCK_QUESTIONS) -> DataFrame:
+    """question, id, score, rank of vectors (id, v) for questions (question, q).
+
+    Both sides may grow: each pair of a shard of vectors and a block of questions is scored in one task and sends
+    at most k rows a question on. Vectors without a direction (null, with null or non-finite components, all zero) and rows
+    without an id take no part.
+    """
+    def sound(v):
+        return v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
+
+    held = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
+    asked = questions.select(F.col("question").cast("long").alias("question"), F.col("q").cast("array<double>").alias("q")).where(F.col("question").isNotNull() & sound(F.col("q")))
+    shards, blocks = max(1, -(-held.count() // shard_rows)), max(1, -(-asked.count() // block_questions))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = held.withColumn("shard", _home("id", shards)).withColumn("block", every(blocks))
+    right = asked.withColumn("at_block", _home("question", blocks)).withColumn("at_shard", every(shards))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("at_shard", "at_block")).applyInArrow(_nearest(k), "question long, id long, score double")
+    return top(found, k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 10, dense_weight: float = 1.0, sparse_weight: float = 1.0) -> DataFrame:
