@@ -10,7 +10,7 @@ on the layout, and a run with the same seed keeps the same documents.
 
 The number of cells is bounded by the targets: a value that no target names counts as ``OTHER``, and so
 does null. Default targets are tempered shares, (n / total) ** alpha, of the values in the table itself;
-there the number of values is checked against ``MAX_VALUES``, and rarer values beyond it share ``OTHER``.
+there the ``MAX_VALUES`` largest values have targets of their own, and the tokens of all rarer ones together are ``OTHER``'s.
 
 Topics: a document's topic is its form, judged from native statistics: ``table`` (bars), ``noisy``
 (symbols after words), ``long`` (over 2000 tokens) or ``prose``.
@@ -64,8 +64,13 @@ def tempered(docs: DataFrame, alpha: float = 0.8) -> dict[str, dict[str, float]]
     sums = {name: docs.groupBy(F.col(f"__{name}").alias("value")).agg(F.sum("__tokens").alias("n")) for name in MARGINS}
     for name, frame in sums.items():
         rows = frame.orderBy(F.desc("n"), "value").limit(MAX_VALUES).collect()
-        total = sum(r["n"] for r in rows) or 1
-        weights = {r["value"]: (r["n"] / total) ** alpha for r in rows}
+        counts = {r["value"]: r["n"] for r in rows}
+        if len(rows) == MAX_VALUES:
+            rest = (frame.agg(F.sum("n").alias("n")).first()["n"] or 0) - sum(counts.values())
+            if rest:
+                counts[OTHER] = counts.get(OTHER, 0) + rest
+        total = sum(counts.values()) or 1
+        weights = {value: (n / total) ** alpha for value, n in counts.items()}
         whole = sum(weights.values()) or 1
         out[name] = {k: w / whole for k, w in weights.items()}
     return out
@@ -126,7 +131,7 @@ def plan(docs: DataFrame, targets: Targets | None = None, alpha: float = 0.8, tr
 
 
 def with_probability(docs: DataFrame, cells: list[tuple[str, str, str, float, float]], targets: Targets, seed: int = 0) -> DataFrame:
-    """Adds __share, __p and __selected. The cell table is a broadcast of MAX_VALUES cubed rows at the very most."""
+    """Adds __share, __p and __selected. The cell table is a broadcast of (MAX_VALUES + 1) cubed rows at the very most."""
     small = docs.sparkSession.createDataFrame([tuple(c) for c in cells], "__s string, __l string, __t string, __share double, __p double")
     named = docs
     for m, short in zip(MARGINS, "slt", strict=True):
