@@ -19,9 +19,9 @@ def bm25_top_k(spark, sf_dir):
     return R.bm25(records, questions, clearance=2)
 
 
-def _dense(spark):
+def _dense(spark, k=10):
     vectors = spark.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return R.cosine(vectors, vectors.where("id % 20 = 0").select(F.col("id").alias("question"), F.col("v").alias("q")))
+    return R.cosine(vectors, vectors.where("id % 20 = 0").select(F.col("id").alias("question"), F.col("v").alias("q")), k)
 
 
 def cosine_top_k(spark, sf_dir):
@@ -29,9 +29,10 @@ def cosine_top_k(spark, sf_dir):
     return _dense(spark)
 
 
-def hybrid_rrf(spark, sf_dir):
+def hybrid_rrf(spark, sf_dir, k=10):
+    """Each leg gives 2 * k candidates: a record in the middle of both lists may beat the first of one."""
     records, questions = _inputs(spark, sf_dir)
-    return R.fuse(_dense(spark), R.bm25(records, questions, clearance=2))
+    return R.fuse(_dense(spark, 2 * k), R.bm25(records, questions, 2 * k, clearance=2), k)
 
 
 QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf}

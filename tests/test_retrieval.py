@@ -86,3 +86,15 @@ def test_cosine_in_shards_and_blocks(spark):
     assert ranks(found) == {q: best({i: float(unit[q] @ unit[i]) for i in range(300) if i != q}, 7) for q in range(0, 300, 3)}
     assert R.cosine(frame.limit(0), asked).count() == 0 and R.cosine(frame, asked.limit(0)).count() == 0
     assert R.cosine(frame.where("id < 3"), asked.where("question = 0")).count() == 2  # fewer than k
+
+
+@needs_tables
+def test_each_leg_gives_twice_as_many_candidates(spark):
+    d, s = angular(spark, 20), lexical(spark, 20)
+    expected = set()
+    for q in d.keys() | s.keys():
+        dense, sparse = d.get(q, {}), s.get(q, {})
+        score = {i: round(sum(1 / (R.RRF_K + leg[i]) for leg in (dense, sparse) if i in leg), 6) for i in dense.keys() | sparse.keys()}
+        order = sorted(score, key=lambda i: (-score[i], dense.get(i, 99), sparse.get(i, 99), i))[:10]
+        expected |= {(q, i, f"{score[i]:.6f}", n + 1) for n, i in enumerate(order)}
+    assert {(r.question, r.id, f"{r.score:.6f}", r["rank"]) for r in retrieval_queries.hybrid_rrf(spark, SF).collect()} == expected
