@@ -32,6 +32,8 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head script style template noscript title datalist iframe noembed noframes".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset("html body div section article nav header footer main aside li dt dd form fieldset legend address hr figcaption details summary option select tr caption thead tbody tfoot center".split())
+#: What may stand in <head>: any other start tag, or text that is not blank, ends an open head.
+HEAD = frozenset("base link meta noframes noscript script style template title".split())
 #: A start tag in the key's set ends an open element of the key, searched no higher than its scope.
 ENDED_BY = {
     "p": BLOCK - {"tr", "caption", "thead", "tbody", "tfoot", "option", "html", "body"},
@@ -81,15 +83,24 @@ def parse(text: str) -> Node:
                 return 0
         return 0
 
+    def leave_head() -> None:
+        while stack[-1].tag == "head":
+            close(len(stack) - 1)
+
+    def add(piece: str) -> None:
+        piece = html.unescape(piece) if "&" in piece else piece
+        if stack[-1].tag == "head" and piece.strip(" \t\n\f\r"):
+            leave_head()
+        stack[-1].kids.append(piece)
+
     while True:
         m = _TOKEN.search(text, at)
         if m is None:
             if at < len(text):
-                stack[-1].kids.append(html.unescape(text[at:]))
+                add(text[at:])
             return root
         if m.start() > at:
-            piece = text[at : m.start()]
-            stack[-1].kids.append(html.unescape(piece) if "&" in piece else piece)
+            add(text[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -99,8 +110,11 @@ def parse(text: str) -> Node:
             if depth:
                 close(depth)
             elif tag == "br":
+                leave_head()
                 stack[-1].kids.append(Node("br"))
             continue
+        if tag not in HEAD:
+            leave_head()
         for ended in _ENDS.get(tag, ()):
             depth = find(ended, SCOPE[ended])
             if depth:
