@@ -52,7 +52,8 @@ class Encoder:
 
     The rank file holds the same vocabulary as the JSON file and is read by a faster library. The two split
     text by the same pattern, but with their own Unicode tables, so texts with characters beyond Latin
-    letters, or with rare white space, go to the ``tokenizers`` library itself.
+    letters, or with rare white space, go to the ``tokenizers`` library itself. So do texts that hold the literal of an
+    added token: it is one token there, while the rank file knows no added tokens.
     """
 
     def __init__(self, path: str):
@@ -64,7 +65,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.hard = re.compile("|".join([_HARD.pattern, *added]))
         self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -73,7 +75,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or _HARD.search(text):
+        if self.fast is None or self.hard.search(text):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
