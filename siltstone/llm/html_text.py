@@ -1,12 +1,19 @@
 """HTML extraction by layout-aware rendering.
 
 A small tree builder reads tags leniently: void elements, raw text (script, style, title, textarea), implied
-end tags (p, li, dt, dd, option, tr, td, th, thead, tbody, head), stray end tags and missing ones. Elements
-that a browser does not show (head, script, style, template, noscript, the ``hidden`` attribute, and inline
-``display:none`` or ``visibility:hidden``) are left out. All other text is rendered: runs of white space
-count as one space except in ``pre`` and ``textarea``; blocks start on lines of their own, with a blank
-line around paragraphs, headings, lists and tables; list items carry a dash or their number and are indented
-by depth; table cells are padded so that columns align, cells that span columns included.
+end tags (p, li, dt, dd, option, tr, td, th, thead, tbody, head), stray end tags and missing ones. A quote
+opens an attribute's value only after ``=``, and only if it is closed somewhere, so stray quotes lose no text.
+
+Elements that a browser does not show are left out: head, script, style, template, noscript, the ``hidden``
+attribute, what a closed ``details`` or ``dialog`` holds, and what inline styles or the page's ``style``
+elements set to ``display:none`` or ``visibility:hidden`` (a visible child of a hidden parent is shown). Of
+style sheets, rules with plain selectors count (tag, class, id and their compounds); combinators,
+pseudo-classes and at-rules such as ``@media`` do not.
+
+All other text is rendered: runs of white space count as one space except in ``pre`` and ``textarea``; blocks
+start on lines of their own, with a blank line around paragraphs, headings, lists and tables; list items
+carry a dash or their number (``start`` and ``value`` count) and are indented by depth; table cells are padded
+so that columns align, cells that span columns or rows included.
 
 The parser keeps a stack, not a recursion, so deeply nested pages are no danger.
 """
@@ -23,13 +30,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|\*)?(?:[.#][a-z0-9_-]+)*", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_STYLED = re.compile("hidden|style", re.I)
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe noembed noframes canvas audio video rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset("html body div section article nav header footer main aside li dt dd form fieldset legend address hr figcaption details summary option select tr caption thead tbody tfoot center".split())
 #: What may stand in <head>: any other start tag, or text that is not blank, ends an open head.
@@ -54,14 +65,18 @@ _ENDS = {tag: [k for k, by in ENDED_BY.items() if tag in by] for tag in set().un
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "mark")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.mark = tag, attrs, [], "- "
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in _ATTR.findall(text)}
+    out: dict[str, str] = {}
+    for name, value in _ATTR.findall(text):  # of repeated names, the first counts
+        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+        out.setdefault(name.lower(), html.unescape(value[1:-1] if quoted else value))
+    return out
 
 
 def parse(text: str) -> Node:
@@ -131,14 +146,98 @@ def parse(text: str) -> Node:
             open_tags[tag] = open_tags.get(tag, 0) + 1
 
 
-def shown(node: Node) -> bool:
+def declarations(text: str) -> dict[str, tuple[bool, str]]:
+    """The ``display`` and ``visibility`` that a declaration block sets, as (important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in text.split(";"):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if colon and value and name in ("display", "visibility"):
+            important = value.endswith("important") and "!" in value
+            own = (important, value.partition("!")[0].strip())
+            if name not in out or important or not out[name][0]:
+                out[name] = own
+    return out
+
+
+def _top_level(css: str) -> str:
+    """A style sheet without comments and at-rules."""
+    css = _COMMENT.sub(" ", css)
+    out, at = [], 0
+    while (sign := css.find("@", at)) >= 0:
+        out.append(css[at:sign])
+        brace, end = css.find("{", sign), css.find(";", sign)
+        if end >= 0 and (brace < 0 or end < brace):
+            at = end + 1
+            continue
+        depth, at = 0, brace if brace >= 0 else len(css)
+        while at < len(css):
+            depth += (css[at] == "{") - (css[at] == "}")
+            at += 1
+            if depth == 0:
+                break
+    return "".join([*out, css[at:]])
+
+
+class Sheet:
+    """Rules on display and visibility, found by the last id, class or tag of their selector."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list[tuple]] = {}
+        stack, sheets = [root], []
+        while stack:
+            node = stack.pop()
+            if node.tag == "style":
+                sheets.append("".join(k for k in node.kids if isinstance(k, str)))
+            stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+        for n, (selectors, body) in enumerate(_RULE.findall(_top_level("\n".join(sheets)))):
+            for name, (important, value) in declarations(body).items():
+                for selector in selectors.split(","):
+                    plain = selector.strip()
+                    if not plain or not _SIMPLE.fullmatch(plain):
+                        continue
+                    parts = re.findall(r"[.#]?[^.#]+", plain)
+                    weight = (important, sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), sum(p[0] not in ".#*" for p in parts), n)
+                    parts = [p if p[0] in ".#" else p.lower() for p in parts]
+                    self.rules.setdefault(parts[-1], []).append((name, weight, value, frozenset(parts) - {"*"}))
+
+    def style(self, node: Node, attrs: dict[str, str]) -> dict[str, str]:
+        """What rules and the inline style make of an element."""
+        own = {node.tag, *(f".{c}" for c in attrs.get("class", "").split()), *([f"#{attrs['id']}"] if attrs.get("id") else [])}
+        best: dict[str, tuple] = {}
+        for key in (*own, "*") if self.rules else ():
+            for name, weight, value, parts in self.rules.get(key, ()):
+                if parts <= own and (name not in best or weight > best[name][0]):
+                    best[name] = (weight, value)
+        found = {name: value for name, (_, value) in best.items()}
+        for name, (important, value) in declarations(attrs.get("style", "")).items():
+            if important or name not in best or not best[name][0][0]:
+                found[name] = value
+        return found
+
+
+PRE, UNSHOWN = 1, 2
+
+
+def state_of(node: Node, sheet: Sheet, state: int) -> int | None:
+    """The element's bits of PRE and UNSHOWN under its parent's state; None if it and all it holds are left out."""
     if node.tag in UNSEEN:
-        return False
-    low = node.attrs
-    if low and ("hidden" in low.lower() or "style" in low.lower()):
-        a = attributes(low)
-        return "hidden" not in a and not _GONE.search(a.get("style", "")) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
-    return True
+        return None
+    if node.tag in ("pre", "textarea", "xmp"):
+        state |= PRE
+    if not sheet.rules and node.tag != "dialog" and not _STYLED.search(node.attrs):
+        return state
+    attrs = attributes(node.attrs) if node.attrs else {}
+    style = sheet.style(node, attrs)
+    display = style.get("display")
+    if display == "none" or "hidden" in attrs and display is None or node.tag == "dialog" and "open" not in attrs and display is None:
+        return None
+    if node.tag == "input" and attrs.get("type", "").lower() == "hidden":
+        return None
+    visibility = style.get("visibility")
+    if visibility in ("hidden", "collapse"):
+        return state | UNSHOWN
+    return state & ~UNSHOWN if visibility == "visible" else state
 
 
 class Lines:
@@ -190,13 +289,14 @@ class Lines:
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
+    sheet = Sheet(root)
     out = Lines()
     frames: list[tuple] = []  # lines of tables around, with their cells
-    stack: list[tuple] = [("open", root, False)]
+    stack: list[tuple] = [("open", root, 0)]
     while stack:
-        what, node, pre = stack.pop()
+        what, node, state = stack.pop()
         if what == "text":
-            out.put(node, pre)
+            out.put(node, bool(state & PRE))
         elif what == "open":
             if node.tag == "br":
                 out.end(keep=True)
@@ -204,15 +304,15 @@ def render(root: Node) -> str:
                 out.end()
                 out.blank = True
             elif node.tag in ("td", "th") and frames and frames[-1][1] is not None:
-                stack.append(("cell", (node, out), pre))
+                stack.append(("cell", (node, out), state))
                 out = Lines()
-                stack.extend(_kids(node, pre))
+                stack.extend(_kids(node, sheet, state))
             elif node.tag == "table":
                 out.end()
                 out.blank = True
                 frames.append((out, []))
-                stack.append(("table", node, pre))
-                stack.extend(_kids(node, pre))
+                stack.append(("table", node, state))
+                stack.extend(_kids(node, sheet, state))
             else:
                 saved = None
                 if node.tag in BLOCK:
@@ -223,19 +323,17 @@ def render(root: Node) -> str:
                     out.pad += "  " if node.tag in ("blockquote", "dd") or out.pad else ""
                 elif node.tag == "li":
                     saved = (out, out.pad, "")
-                    out.mark = node.attrs if node.attrs.startswith("\0") else "- "
-                    out.mark = out.mark.lstrip("\0")
+                    out.mark = node.mark
                 elif node.tag == "tr" and frames and frames[-1][1] is not None:
                     frames[-1][1].append([])
-                stack.append(("close", (node, saved), pre))
-                stack.extend(_kids(node, pre or node.tag in ("pre", "textarea", "xmp")))
+                stack.append(("close", (node, saved), state))
+                stack.extend(_kids(node, sheet, state))
         elif what == "cell":
             cell, before = node
             if not frames[-1][1]:
                 frames[-1][1].append([])
             a = attributes(cell.attrs) if cell.attrs else {}
-            span = a.get("colspan", "1")
-            frames[-1][1][-1].append((out.text(), min(1000, max(1, int(span))) if span.isdecimal() and len(span) < 5 else 1))
+            frames[-1][1][-1].append((out.text(), _count(a.get("colspan"), 1, 1000), _count(a.get("rowspan"), 0, 65534)))
             out = before
         elif what == "table":
             before, rows = frames.pop()
@@ -255,40 +353,80 @@ def render(root: Node) -> str:
     return out.text()
 
 
-def _kids(node: Node, pre: bool) -> list[tuple]:
-    """What stands in a node, last first. Items of an ordered list get their numbers."""
-    out, n = [], 0
+def _number(text: str | None) -> int | None:
+    found = _NUMBER.match(text or "")
+    return int(found[1]) if found else None
+
+
+def _count(text: str | None, least: int, most: int) -> int:
+    """A span; 1 where none is given or it is no number."""
+    n = _number(text)
+    return 1 if n is None or n < least else min(n, most)
+
+
+def _kids(node: Node, sheet: Sheet, state: int) -> list[tuple]:
+    """What stands in a node, last first. Items of an ordered list get their numbers; a closed ``details`` shows its summary only."""
+    out, n = [], 1
+    attrs = attributes(node.attrs) if node.tag in ("ol", "details") and node.attrs else {}
+    closed = node.tag == "details" and "open" not in attrs
+    if node.tag == "ol":
+        start = _number(attrs.get("start"))
+        n = 1 if start is None else start
     for kid in node.kids:
         if isinstance(kid, str):
-            if node.tag not in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol") or kid.strip():
-                out.append(("text", kid, pre))
-        elif shown(kid):
-            if kid.tag == "li" and node.tag == "ol":
-                n += 1
-                kid.attrs = f"\0{n}. "
-            out.append(("open", kid, pre))
+            if not state & UNSHOWN and not closed and (node.tag not in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol") or kid.strip()):
+                out.append(("text", kid, state))
+            continue
+        if closed and kid.tag != "summary":
+            continue
+        own = state_of(kid, sheet, state)
+        if own is None:
+            continue
+        if kid.tag == "summary":
+            closed = closed and not out  # the first one only
+            if node.tag == "details" and "open" not in attrs:
+                out.append(("open", kid, own))
+                break
+        if kid.tag == "li" and node.tag == "ol":
+            value = _number(attributes(kid.attrs).get("value")) if kid.attrs else None
+            n = n if value is None else value
+            kid.mark = f"{n}. "
+            n += 1
+        out.append(("open", kid, own))
     return out[::-1]
 
 
-def _grid(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table with its columns padded to one width; a cell of several lines takes as many."""
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table with its columns padded to one width; a cell of several lines takes as many. Cells are (text, columns, rows); 0 rows: all below."""
+    placed: list[list[tuple[int, list[str], int]]] = []
+    held: dict[int, int] = {}  # rows that a cell above still takes in a column
+    for r, row in enumerate(rows):
+        col, cells = 0, []
+        taken, held = held, {c: n - 1 for c, n in held.items() if n > 1}
+        for text, span, down in row:
+            while col in taken:
+                col += 1
+            cells.append((col, text.split("\n"), span))
+            below = (len(rows) - r if down == 0 else min(down, len(rows) - r)) - 1
+            if below:
+                held |= {c: below for c in range(col, col + span)}
+            col += span
+        placed.append(cells)
     widths: dict[int, int] = {}
-    for row in rows:
-        col = 0
-        for text, span in row:
+    for cells in placed:
+        for col, lines, span in cells:
             if span == 1:
-                widths[col] = max(widths.get(col, 0), *(len(x) for x in text.split("\n")))
-            col += span
-    lines = []
-    for row in rows:
-        parts, col, cells = max((len(t.split("\n")) for t, _ in row), default=0), 0, []
-        for text, span in row:
-            width = sum(widths.get(c, 0) for c in range(col, col + span)) + 3 * (span - 1)
-            cells.append((text.split("\n"), width))
-            col += span
-        for i in range(parts):
-            lines.append(" | ".join((c[i] if i < len(c) else "").ljust(w) for c, w in cells).rstrip())
-    return lines
+                widths[col] = max(widths.get(col, 0), *map(len, lines))
+    out = []
+    for cells in placed:
+        full, at = [], 0
+        for col, lines, span in cells:
+            full += [([""], widths.get(c, 0)) for c in range(at, col)]
+            full.append((lines, sum(widths.get(c, 0) for c in range(col, col + span)) + 3 * (span - 1)))
+            at = col + span
+        for i in range(max((len(lines) for lines, _ in full), default=0)):
+            out.append(" | ".join((lines[i] if i < len(lines) else "").ljust(w) for lines, w in full).rstrip())
+    return out
 
 
 def extract(text: str | None) -> str:
