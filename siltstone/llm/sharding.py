@@ -10,11 +10,14 @@ its weight: if a weight rises, keys move only into the subtree that holds it; if
 were, so every key that moves goes into the new shard. (Adding the shard to an existing rack would confine
 movement to that rack's region, but would also deal the region's arrivals to the rack's neighbours.)
 
+A node of weight 0 takes no keys; negative weights, and a tree without any weight, raise ValueError.
+
 Null keys hash as one fixed string. Equal rows share a shard and take neighbouring slots.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -58,20 +61,26 @@ def topology(n_shards: int, regions: int = 4, racks: int = 2, weight: float = 1.
 
 
 def grow(root: Node, shard: int, weight: float = 1.0) -> Node:
-    """The topology with one more shard, in a new region and rack."""
-    top = f"r{len(root.children)}"
+    """The topology with one more shard, in a new region and rack whose names no other region has."""
+    names = {top.name for top in root.children}
+    top = next(f"r{i}" for i in itertools.count(len(names)) if f"r{i}" not in names)
     return Node(root.name, children=(*root.children, Node(top, children=(rack(f"{top}k0", [(shard, weight)]),))))
 
 
+def _cell(name: str, weight: float, place: int) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(place).alias("place"))
+
+
 def _children(groups: Sequence[Sequence[Node]]) -> Column:
     """For each parent, its children as an array of (name, weight, place in the level below)."""
     place, rows = 0, []
     for group in groups:
         cells = []
         for child in group:
-            cells.append(F.struct(F.lit(child.name).alias("name"), F.lit(float(child.total)).alias("weight"), F.lit(place if child.shard is None else child.shard).alias("place")))
+            if child.total > 0:
+                cells.append(_cell(child.name, child.total, place if child.shard is None else child.shard))
             place += 1
-        rows.append(F.array(*cells))
+        rows.append(F.array(*(cells or [_cell("", 1.0, 0)])))  # no key comes to a group without weight
     return F.array(*rows)
 
 
@@ -84,6 +93,8 @@ def _draw(key: Column, children: Column) -> Column:
 def place(key: Column, root: Node) -> Column:
     """The shard of a key (a string column): three draws, from the root's regions down to a rack's shards."""
     racks = [r for top in root.children for r in top.children]
+    if min([shard.weight for r in racks for shard in r.children], default=0.0) < 0 or not root.total > 0:
+        raise ValueError("shard weights must not be negative, and one must be positive")
     region = _draw(key, F.element_at(_children([root.children]), 1))
     chosen = _draw(key, F.element_at(_children([top.children for top in root.children]), region + 1))
     return _draw(key, F.element_at(_children([r.children for r in racks]), chosen + 1))
