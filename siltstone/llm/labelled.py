@@ -19,8 +19,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, stats: tuple[str, ...] = S.STATS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics (rows x stats) and labels of labelled rows that are not held out, in a stated order."""
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """Statistics (rows x stats) and labels of labelled rows that are not held out, in a stated order.
+
+    A document that is labelled several times counts once; one with both labels is left out.
+    """
+    valid = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    usable = valid.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("__most")).where(F.col("label") == F.col("__most")).select("doc_id", "label")
     n = usable.count()
     if n > max_rows:
         usable = usable.where(C.md5_unit(F.concat(F.lit("label/"), F.col("doc_id").cast("string"))) < max_rows / n)
