@@ -18,7 +18,6 @@ so that groups of a block hold nearly the same number of tokens of each tier.
 from __future__ import annotations
 
 import base64
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -88,69 +87,70 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Shelves:
+    """Items below ``window`` tokens, by length. A bit mask of the lengths at hand finds the next item without a scan."""
+
+    def __init__(self, window: int):
+        self.cells: list[list[tuple[int, int]]] = [[] for _ in range(window)]
+        self.mask = self.total = 0
+
+    def put(self, n: int, item: int, start: int) -> None:
+        self.cells[n].append((item, start))
+        self.mask |= 1 << n
+        self.total += n
+
+    def take(self, n: int) -> tuple[int, int]:
+        own = self.cells[n]
+        item = own.pop()
+        if not own:
+            self.mask ^= 1 << n
+        self.total -= n
+        return item
+
+    def longest(self, most: int | None = None) -> int:
+        """The length of the longest item, of at most ``most`` tokens; 0 if there is none."""
+        return max(0, (self.mask if most is None else self.mask & ((2 << most) - 1)).bit_length() - 1)
+
+    def shortest(self) -> int:
+        return (self.mask & -self.mask).bit_length() - 1
+
+
 def plan(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS, least: int = LEAST) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Windows as (size, pieces), where a piece is (item, start, length). Every token of every item is in one piece."""
     done: list[tuple[int, list[tuple[int, int, int]]]] = []
-    rest: list[tuple[int, int, int]] = []  # length, item, start
+    rest = Shelves(window)
     for item, n in enumerate(lengths):
         start = 0
         while n - start >= window:
             done.append((window, [(item, start, window)]))
             start += window
         if n > start:
-            rest.append((n - start, item, start))
-    rest.sort()
-    sizes = [r[0] for r in rest]
+            rest.put(n - start, item, start)
 
-    def put_back(n: int, item: int, start: int) -> None:
-        at = bisect.bisect_right(sizes, n)
-        rest.insert(at, (n, item, start))
-        sizes.insert(at, n)
+    def piece(pieces: list[tuple[int, int, int]], n: int, most: int) -> int:
+        """Takes an item of n tokens, cut at ``most``; what is cut off goes back."""
+        item, start = rest.take(n)
+        took = min(n, most)
+        pieces.append((item, start, took))
+        if n > took:
+            rest.put(n - took, item, start + took)
+        return took
 
     def fill(gap: int, pieces: list[tuple[int, int, int]]) -> None:
         """The longest item that fits, again and again; then one item cut to the gap. Only what was routed below the window's tier, or is left of it, is at hand."""
-        while gap and rest:
-            at = bisect.bisect_right(sizes, gap) - 1
-            if at >= 0:
-                n, item, start = rest.pop(at)
-                sizes.pop(at)
-            else:
-                n, item, start = rest.pop(0)
-                sizes.pop(0)
-            took = min(n, gap)
-            pieces.append((item, start, took))
-            gap -= took
-            if n > took:
-                put_back(n - took, item, start + took)
+        while gap and rest.total:
+            gap -= piece(pieces, rest.longest(gap) or rest.shortest(), gap)
 
     for below, tier in reversed(list(zip((0, *tiers), tiers, strict=False))):
-        while rest and rest[-1][0] > below:
-            if below == 0 and sum(sizes) < tier:
-                break
-            n, item, start = rest.pop()
-            sizes.pop()
-            if n + sum(sizes[:64]) < tier and n + sum(sizes) < tier:  # too little is left for a window of this tier
-                rest.append((n, item, start))
-                sizes.append(n)
-                break
-            took = min(n, tier)  # longer only where a longer tier's last window could not be filled
-            pieces = [(item, start, took)]
-            if n > took:
-                put_back(n - took, item, start + took)
-            fill(tier - took, pieces)
+        while rest.longest() > below and rest.total >= tier:  # with less, a window of this tier can't be filled
+            pieces: list[tuple[int, int, int]] = []
+            fill(tier - piece(pieces, rest.longest(), tier), pieces)  # longer only where a longer tier's last window could not be filled
             done.append((tier, pieces))
-    left = sum(sizes)
-    size = window
-    while left >= least:
-        size = 1 << (left.bit_length() - 1)
-        pieces = []
-        fill(min(size, window), pieces)
-        done.append((min(size, window), pieces))
-        left = sum(sizes)
-    if left:
+    while rest.total:
+        size = min(1 << (rest.total.bit_length() - 1), window) if rest.total >= least else rest.total
         pieces = []
-        fill(left, pieces)
-        done.append((left, pieces))
+        fill(size, pieces)
+        done.append((size, pieces))
     return done
 
 
