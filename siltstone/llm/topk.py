@@ -111,6 +111,30 @@ class BallTree:
         return row, best_id[row, col], best[row, col]
 
 
+LIMIT = 2**63 - 1
+
+
+def _exact(x: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """(query row, vector id, score) by whole-number arithmetic, for products that doubles can't hold. Scores beyond 64 bits count as the nearest that fits."""
+    rows: list[int] = []
+    found: list[int] = []
+    scores: list[int] = []
+    wide = float(np.abs(x).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * x.shape[1] >= 2.0**62
+    kind = object if wide else np.int64
+    whole = lambda m: np.array([[int(v) for v in row] for row in m], dtype=object) if wide else m.astype(np.int64)
+    left, right = whole(x).reshape(x.shape).T, whole(q).reshape(q.shape)
+    for i in range(len(q)):
+        score = np.asarray(right[i] @ left, dtype=kind)
+        if wide:
+            score = np.array([max(-LIMIT - 1, min(LIMIT, int(v))) for v in score], dtype=np.int64)
+        other = np.flatnonzero(ids != query_ids[i])
+        best = other[np.lexsort((ids[other], ~score[other]))[:k]]  # ~ turns the order round and, unlike a minus, always fits
+        rows += [i] * len(best)
+        found += ids[best].tolist()
+        scores += score[best].tolist()
+    return rows, found, scores
+
+
 def _search(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -127,12 +151,20 @@ def _search(k: int):
             if not mine or not width:
                 continue
             x, q = unpack([cells[i] for i in at]), unpack([q_cells[i] for i in mine])
-            if float(np.abs(x).max()) * float(np.abs(q).max()) * width >= 2**53:
-                raise ValueError("inner products beyond 2**53 are not exact")
-            ids = vectors["vec_id"].to_numpy()[at]
-            order = np.argsort(ids, kind="stable")
-            row, found, score = BallTree(ids[order], x[order]).search(asked[mine], q, floors[mine], k)
-            out.append(pa.table({"query_id": pa.array(asked[mine][row]), "vec_id": pa.array(found), "score": pa.array(score.astype(np.int64))}))
+            ids, mine = vectors["vec_id"].to_numpy()[at], np.array(mine)
+            large = (2.0**53 / width) ** 0.5  # two vectors below it have a product that doubles hold exactly
+            big_x, big_q = np.abs(x).max(axis=1) >= large, np.abs(q).max(axis=1) >= large
+            small = np.flatnonzero(~big_x)
+            if len(small) and not big_q.all():
+                own = mine[~big_q]
+                order = small[np.argsort(ids[small], kind="stable")]
+                row, found, score = BallTree(ids[order], x[order]).search(asked[own], q[~big_q], floors[own], k)
+                out.append(pa.table({"query_id": pa.array(asked[own][row]), "vec_id": pa.array(found), "score": pa.array(score.astype(np.int64))}))
+            for ask, hold in ((big_q, np.ones(len(x), dtype=bool)), (~big_q, big_x)):
+                if ask.any() and hold.any():
+                    own = mine[ask]
+                    rows, found, score = _exact(x[hold], ids[hold], asked[own], q[ask], k)
+                    out.append(pa.table({"query_id": pa.array(asked[own][rows], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())}))
         return pa.concat_tables(out) if out else empty
 
     return run
@@ -147,14 +179,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, shard_
 
     ``is_query`` is a condition on ``vec_id``. Vectors that are null or hold null or non-finite components,
     rows without an id and pairs of different lengths take no part. Rows that repeat an id are all
-    candidates for other ids, and each is a query of its own rank order only once. Empty table: no rows.
+    candidates for other ids; such an id asks once, with the least of its vectors in byte order. Products that
+    doubles can't hold are computed in whole numbers, and scores beyond 64 bits count as the nearest that
+    fits. Empty table: no rows.
     """
     spark = vectors.sparkSession
     C.ship(spark)
     store = C.Store(spark, "topk")
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     whole = store.put("whole", source.mapInArrow(_quantise(scale), "vec_id long, v binary"))
-    asked = whole.where(is_query).dropDuplicates(["vec_id"])
+    asked = whole.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, n_asked = whole.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // block_queries))
     home = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
