@@ -121,7 +121,7 @@ def _mask(chars: str) -> np.ndarray:
     return out
 
 
-_SPACE, _OPENING, _CLOSING = _mask(" \t\n\x0b\x0c\r"), _mask("\"'([<{"), _mask("\"',.;:!?)]>}")
+_SPACE, _OPENING, _CLOSING = _mask(" \t\n\x0b\x0c\r"), _mask("\"'([<{"), _mask("\"',.;:!?)]>}#$%&*")
 _STOP = _mask(".!?;:|,")
 _UP, _DIG = _mask("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _mask("0123456789")
 _LOW = _mask("abcdefghijklmnopqrstuvwxyz")
@@ -152,7 +152,7 @@ class Tokens:
         start = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | edge[:-1]))
         end = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | edge[1:])) + 1
         self.stop = _STOP[data[end - 1]].astype(np.int8)
-        for _ in range(3):  # quotes and brackets around the core
+        for _ in range(6):  # quotes, brackets and signs around the core
             start += _OPENING[data[start]] & (start < end - 1)
             end -= _CLOSING[data[end - 1]] & (start < end - 1)
         self.start, self.end, self.doc = start, end, np.searchsorted(offsets, start, side="right") - 1
@@ -352,7 +352,7 @@ def _scan(weights: dict[str, np.ndarray]):
                 extra = found_spans(weights, data, offsets)
                 counts, sums, everything = [], [], []
                 for i in range(len(offsets) - 1):
-                    base = base_spans(bytes(data[offsets[i] : offsets[i + 1]]).decode())
+                    base = base_spans(bytes(data[offsets[i] : offsets[i + 1]]).decode(errors="replace"))
                     known = joined(BASE, base)
                     counts.append([len(x) for x in base])
                     sums.append(hashlib.sha256(known.encode()).hexdigest())
@@ -365,7 +365,7 @@ def _scan(weights: dict[str, np.ndarray]):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans; one row per input row. Null text: empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans; one row per input row. Null text: empty; bytes that are not UTF-8 read as U+FFFD."""
     C.ship(docs.sparkSession)
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
@@ -395,7 +395,7 @@ def _mask_texts(weights: dict[str, np.ndarray], place: int):
             for row, data, offsets in H.chunks(texts):
                 extra = found_spans(weights, data, offsets)
                 for i in range(len(offsets) - 1):
-                    text = bytes(data[offsets[i] : offsets[i + 1]]).decode()
+                    text = bytes(data[offsets[i] : offsets[i + 1]]).decode(errors="replace")
                     spans = [*base_spans(text), *extra.get(i, [[], []])]
                     new.append((_masked(text, spans) if any(spans) else text) if texts[row + i].is_valid else None)
             yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
