@@ -76,6 +76,11 @@ class Store:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_struct(df: DataFrame) -> Column:
+    """All columns of a row in one struct; ``select("struct.*")`` gives them back."""
+    return F.struct(*(F.col("`" + name.replace("`", "``") + "`") for name in df.columns))
+
+
 def words(text: Column) -> Column:
     """The words of a text; of a null text, none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

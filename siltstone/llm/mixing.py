@@ -18,6 +18,7 @@ Topics: a document's topic is its form, judged from native statistics: ``table``
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -132,7 +133,9 @@ def plan(docs: DataFrame, targets: Targets | None = None, alpha: float = 0.8, tr
 
 def with_probability(docs: DataFrame, cells: list[tuple[str, str, str, float, float]], targets: Targets, seed: int = 0) -> DataFrame:
     """Adds __share, __p and __selected. The cell table is a broadcast of (MAX_VALUES + 1) cubed rows at the very most."""
-    small = docs.sparkSession.createDataFrame([tuple(c) for c in cells], "__s string, __l string, __t string, __share double, __p double")
+    rows = json.dumps([dict(zip(("__s", "__l", "__t", "__share", "__p"), c, strict=True)) for c in cells])
+    kind = "array<struct<__s:string,__l:string,__t:string,__share:double,__p:double>>"
+    small = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
     named = docs
     for m, short in zip(MARGINS, "slt", strict=True):
         named = named.withColumn(f"__{m}", known(F.col(f"__{m}"), sorted(targets.get(m, {}))))
@@ -153,10 +156,10 @@ def mix(docs: DataFrame, targets: Targets | None = None, alpha: float = 0.8, see
 
 
 def sample(docs: DataFrame, targets: Targets | None = None, alpha: float = 0.8, seed: int = 0) -> DataFrame:
-    """The selected rows of docs with all their columns."""
-    ready = with_margins(docs)
+    """The selected rows of docs with all their columns, whatever those are called."""
+    ready = with_margins(docs.select(C.row_struct(docs).alias("__row"), "doc_id", "text", "source", "lang"))
     cells, used = plan(ready, targets, alpha)
-    return with_probability(ready, cells, used, seed).where("__selected").select(*docs.columns)
+    return with_probability(ready, cells, used, seed).where("__selected").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

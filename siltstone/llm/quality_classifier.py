@@ -178,8 +178,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns."""
+    """The rows of docs that the classifier does not reject, with all their columns, whatever those are called.
+
+    Null and empty texts are scored like any other; an empty table gives no rows; equal rows stay or go together.
+    """
     model = train(docs, C.table(spark, sf_dir, "labels"))
+    apart = docs.select(C.row_struct(docs).alias("__row"), F.col("text"))  # statistics may share names with the caller's columns
     # Generated, not projected: a filter on a projected score is pushed down and computes every statistic again for each rule.
-    scored = S.with_stats(S.with_words(docs)).select(*docs.columns, F.explode(F.array(model.score())).alias("__score"))
-    return scored.where(F.col("__score") >= CUT).select(*docs.columns)
+    scored = S.with_stats(S.with_words(apart)).select("__row", F.explode(F.array(model.score())).alias("__score"))
+    return scored.where(F.col("__score") >= CUT).select("__row.*")
