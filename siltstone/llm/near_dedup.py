@@ -289,7 +289,10 @@ def _block(percent: int):
 
 
 def components(links: DataFrame, store: C.Store, label: str, most: int = 60) -> DataFrame:
-    """(node, component) for every node with a link; a component is named by its smallest node."""
+    """(node, component) for every node with a link; a component is named by its smallest node.
+
+    Rounds grow with the logarithm of the longest chain of links; RuntimeError after ``most`` of them.
+    """
     edges = store.put(f"{label}-0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = state(edges)
@@ -324,13 +327,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component, with all columns. Of rows that share an id, one stays."""
-    kept = link_documents(docs, width, percent).where("kept")
-    counts = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    single = counts.where("n = 1 and doc_id is not null").select("doc_id")
-    repeated = counts.where("n > 1 and doc_id is not null").select("doc_id")
-    return named.join(single, "doc_id", "left_semi").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The rows of docs that are the first of their component, with all columns, whatever those are called.
+
+    Each row is a document of its own here, so different texts under one id, or without an id, lose nothing.
+    First is the smallest id, of equal ids the first row; rows without an id come last. Texts without words
+    link with nothing and stay, repeated ones too. Empty table: no rows.
+    """
+    store = C.Store(docs.sparkSession, "near-dedup-rows")
+    # Written, so that a row's number holds whatever is computed again.
+    rows = store.put("rows", docs.select(C.row_struct(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("key")))
+    found = link_documents(rows.select(F.col("key").alias("doc_id"), "text"), width, percent)
+    ranked = found.select(F.col("doc_id").alias("key"), "component_id").join(rows.select("key", "id"), "key")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    first = ranked.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    return rows.join(first, "key", "left_semi").select("row.*")
 
 
 #: The same rows by a join on shared shingles and a recursive walk over links; for small tables.
