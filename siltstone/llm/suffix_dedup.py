@@ -266,7 +266,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
     entries = store.put("entries", named.select("row", "text").join(by_row, "row").mapInArrow(_bodies(length), entry))
     cells, single = _cells(entries, store, length, width, most, hash_bits)
     span = "row long, start long, stop long"
-    bits = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_solve(length, array_bytes), span)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work is many times what the bytes suggest
+    bits = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_solve(length, array_bytes), span)
     repeated = store.put("repeated", book.where("weight > 1").select("content", "content2"))
     whole = hot.join(repeated, ["content", "content2"], "left_semi").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
     found = whole.unionByName(bits)
