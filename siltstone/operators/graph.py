@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Checkpoints in spark.checkpoint.dir; in a temporary folder only where that is unset."""
+    """Checkpoints in spark.checkpoint.dir. Only on a local master may that be unset: a temporary folder then serves; on a cluster each host would have its own."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        where = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="siltstone-"))
     return frame.checkpoint()
 
 
@@ -42,6 +45,19 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def trails(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int = 4) -> DataFrame:
+    """(node, level, trail) of the shortest way to each target (node): nodes with the relations between them, in turn. Of several ways, the first in string order."""
+    steps = both_ways(edges)
+    seen = starts.select("node").distinct().withColumn("level", F.lit(0)).withColumn("trail", F.array("node"))
+    frontier = seen
+    for level in range(1, depth + 1):
+        reached = frontier.select("node", "trail").join(steps, "node").select(F.col("next").alias("node"), F.concat("trail", F.array("relation", "next")).alias("trail"))
+        fresh = reached.groupBy("node").agg(F.min("trail").alias("trail")).join(seen.select("node"), "node", "left_anti")
+        frontier = cut(fresh.select("node", F.lit(level).alias("level"), "trail"))
+        seen = seen.unionByName(frontier)
+    return seen.join(targets.select("node").distinct(), "node", "left_semi")
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     return walk(edges, starts, depth).select("node", "level")
 

@@ -6,6 +6,8 @@ before ranking, so a caller gets full pages of what they may see.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,9 +23,21 @@ RRF_K = 60
 SHARD_ROWS, BLOCK_QUESTIONS, BLOCK_TEXTS = 8192, 8192, 1024
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks and what is left without these; then the marks themselves, which go."""
+    letters = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in letters if len(unicodedata.normalize("NFD", c)) > 1}
+    return "".join(plain) + "".join(map(chr, range(0x300, 0x370))), "".join(plain.values())
+
+
+def folded(text):
+    """Lower case, without the marks of Latin letters."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
+
+
 def terms(text):
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
+    """Runs of letters and digits of any script, folded."""
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def postings(records: DataFrame) -> DataFrame:
