@@ -6,6 +6,8 @@ region, nation, customer and order. Clearance is key % 4, from 0 (public) to 3 (
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
@@ -48,7 +50,14 @@ VIEWS = {
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views over the Parquet tables and the derived tables; nothing is read yet."""
+    """Temp views over the Parquet tables and the derived tables; nothing is read yet. A session that has those of a folder keeps them."""
+    mark = f"siltstone_views_{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if spark.catalog.tableExists(mark):
+        return
+    for old in spark.catalog.listTables():
+        if old.name.startswith("siltstone_views_"):
+            spark.catalog.dropTempView(old.name)
+    spark.range(0).createOrReplaceTempView(mark)
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, body in VIEWS.items():

@@ -2,7 +2,8 @@
 
 ``scan`` reads a folder or file through Spark's binary source; ``members`` opens zip and tar archives,
 nested zips included, in ``mapInArrow`` batches. What a guard refuses becomes a row with ``error`` set and no
-content, never a failure of the job. Archives are read whole, so one must fit a Python worker's memory.
+content, never a failure of the job. An archive's bytes are in memory while it is open, its members one after another; tars, compressed ones
+too, are read as streams.
 """
 
 from __future__ import annotations
@@ -89,8 +90,13 @@ def _zip(body: bytes, prefix: str, depth: int, budget: _Budget) -> Iterator[Memb
                 yield name, info.file_size, None, type(error).__name__
 
 
-def _tar(body: bytes, budget: _Budget) -> Iterator[Member]:
-    with tarfile.open(fileobj=io.BytesIO(body), mode="r:*") as archive:
+def _tar(body: bytes, budget: _Budget, packed_by_zstd: bool = False) -> Iterator[Member]:
+    source = io.BytesIO(body)
+    if packed_by_zstd:
+        import zstandard
+
+        source = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+    with tarfile.open(fileobj=source, mode="r|" if packed_by_zstd else "r|*") as archive:
         for info in archive:
             if not info.isfile():
                 continue
@@ -101,8 +107,10 @@ def _tar(body: bytes, budget: _Budget) -> Iterator[Member]:
 
 def open_archive(path: str, body: bytes) -> Iterator[Member]:
     low, budget = path.lower(), _Budget(MAX_TOTAL_BYTES)
-    if low.endswith((".tar", ".tar.gz", ".tgz")):
+    if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
         yield from _tar(body, budget)
+    elif low.endswith((".tar.zst", ".tzst")):
+        yield from _tar(body, budget, packed_by_zstd=True)
     elif zipfile.is_zipfile(io.BytesIO(body)):
         yield from _zip(body, "", 1, budget)
     else:
@@ -135,6 +143,34 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _row(path, None, None, None, type(error).__name__)
 
 
+def resolve(uris: DataFrame, files: DataFrame) -> DataFrame:
+    """(uri, path, member, size, content, text, error) of single members, for uris (uri) as ``archive://path#member`` and files (path, content).
+
+    Only the archives that are asked for are opened. An address that is none, or names nothing, gives a row with an error.
+    """
+    from ..functions import text as T
+
+    asked = uris.select("uri", T.parse_virtual_uri(F.col("uri")).alias("at")).select("uri", F.col("at.archive").alias("archive"), F.col("at.entry").alias("entry"))
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    held = files.withColumn("archive", plain).join(asked.select("archive").distinct(), "archive", "left_semi")
+    found = members(held).withColumn("archive", plain).withColumnRenamed("member", "entry")
+    out = asked.join(found, ["archive", "entry"], "left")
+    missing = F.when(F.col("archive").isNull(), "no address").when(F.col("path").isNull(), "not found")
+    return out.select("uri", "path", F.col("entry").alias("member"), "size", "content", "text", F.coalesce("error", missing).alias("error"))
+
+
+def directory_stats(files: DataFrame, sentinel: str = ".no-index") -> DataFrame:
+    """(directory, files, bytes, formats) of binary files (path, size), without folders that hold the sentinel file and what lies below them; formats maps endings to counts."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    placed = files.select("path", "size", folder.alias("directory"))
+    barred = placed.where(F.col("path").endswith("/" + sentinel)).select(F.col("directory").alias("barred")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("directory", "/"))), lambda n: F.array_join(F.slice(F.split("directory", "/"), F.lit(1), n), "/"))
+    hidden = placed.select("directory").distinct().withColumn("barred", F.explode(above)).join(barred, "barred", "left_semi").select("directory").distinct()
+    ending = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
+    rows = placed.join(hidden, "directory", "left_anti").groupBy("directory", ending.alias("ending")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    return rows.groupBy("directory").agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ending", "n")))).alias("formats"))
+
+
 def members(files: DataFrame) -> DataFrame:
     """path, member, size, content, its text and error: one row per member of each archive, one per other file."""
     return files.select("path", "content").mapInArrow(_open, SCHEMA)
