@@ -22,6 +22,11 @@ PATH = r"""(?:^|[\s"'])(?:/home/[^\s"']+|/Users/[^\s"']+|/var/data/[^\s"']+|[A-Z
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is named, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 

@@ -68,12 +68,12 @@ def sections(text: Column, headings: Sequence[str] = SECTION_HEADINGS, most: int
 
     found = F.array_sort(F.filter(F.array(*(F.struct(place(h).alias("at"), F.lit(h).alias("name")) for h in headings)), lambda x: x["at"].isNotNull()))
 
-    def cut(x: Column, i: Column) -> Column:
+    def cut(own: Column, x: Column, i: Column) -> Column:
         start = x["at"] + F.length(x["name"]) + 1
-        end = F.coalesce(F.get(found, i + 1)["at"], F.length(body))
+        end = F.coalesce(F.get(own, i + 1)["at"], F.length(body))
         return F.struct(x["name"].alias("key"), F.substring(S.stripped(F.substring(body, start + 1, F.greatest(F.lit(0), end - start))), 1, most).alias("value"))
 
-    parts = F.filter(F.transform(found, cut), lambda x: x["value"] != "")
+    parts = S.bound(found, lambda own: F.filter(F.transform(own, lambda x, i: cut(own, x, i)), lambda x: x["value"] != ""))
     whole = F.create_map(F.lit("Description"), F.substring(S.stripped(body), 1, 2000))
     return F.when(F.size(parts) > 0, F.map_from_entries(parts)).when(S.stripped(body) != "", whole).otherwise(F.create_map().cast("map<string,string>"))
 
@@ -82,10 +82,10 @@ def table_headers(text: Column) -> Column:
     """The column names of the first table of a text whose rows are lines between bars, or null. A rule of dashes may follow the names."""
     lines = F.filter(F.transform(F.split(_text(text), r"\r\n|\r|\n"), S.stripped), lambda x: x != "")
     row = lambda x: F.coalesce(x.rlike(r"^\|.*\|$"), F.lit(False))
-    heads = F.filter(lines, lambda x, i: row(x) & row(F.get(lines, i + 1)))
-    cells = F.split(F.regexp_replace(F.get(heads, F.lit(0)), r"^\|+|\|+$", ""), r"\|")
+    head = S.bound(lines, lambda own: F.get(F.filter(own, lambda x, i: row(x) & row(F.get(own, i + 1))), F.lit(0)))
+    cells = F.split(F.regexp_replace(head, r"^\|+|\|+$", ""), r"\|")
     names = F.array_distinct(F.filter(F.transform(cells, lambda c: S.stripped(F.regexp_replace(c, r"[*`_]", ""))), lambda c: c != ""))
-    return F.when(F.size(heads) > 0, names)
+    return F.when(head.isNotNull(), names)
 
 
 def amounts(text: Column) -> Column:

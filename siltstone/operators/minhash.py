@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from . import graph as G
 
 # Fixed values.
@@ -29,10 +30,8 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
 def shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """The distinct runs of ``words`` words, lower case; with fewer words, all of them as one; without any, the empty string. Reply marks of subject lines are left out."""
     body = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), REPLY, "$1"))
-    tokens = F.array_remove(F.split(body, r"(?U)\s+"), "")
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - words + 1)), lambda i: F.array_join(F.slice(tokens, i, words), " "))
-    return F.array_distinct(F.when(n >= words, runs).otherwise(F.array(F.array_join(tokens, " "))))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - words + 1)), lambda i: F.array_join(F.slice(t, i, words), " "))
+    return S.bound(F.array_remove(F.split(body, r"(?U)\s+"), ""), lambda t: F.array_distinct(F.when(F.size(t) >= words, runs(t)).otherwise(F.array(F.array_join(t, " ")))))
 
 
 def signature(text: Column, n: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> Column:
@@ -41,7 +40,7 @@ def signature(text: Column, n: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -
     # a * h overflows 64 bits, and both engines and Python agree on its lower half by splitting a: only the lower 32 bits count.
     rules = F.array(*(F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(n)))
     product = lambda r, h: (((r["high"] * h) % (1 << 16)) * (1 << 16) + r["low"] * h + r["b"]) % MODULUS
-    return F.transform(rules, lambda r: F.array_min(F.transform(hashes, lambda h: product(r, h))))
+    return S.bound(hashes, lambda hs: F.transform(rules, lambda r: F.array_min(F.transform(hs, lambda h: product(r, h)))))
 
 
 def similarity(left: Column, right: Column) -> Column:

@@ -1,16 +1,13 @@
-"""Scalar functions, file events and graph walks over the driver's tables."""
+"""Scalar functions and file events over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import graph
 from ..streaming import debounce
-from . import views
 
 DELAY = 300
-START, TARGETS, DEPTH = "customer:1", "region:", 3
 
 
 def f1_entropy(spark, sf_dir):
@@ -63,29 +60,11 @@ def t3_moves(spark, sf_dir):
     return debounce.moves(named).select("path", "event_type", "seq")
 
 
-def _graph(spark, sf_dir):
-    views.register(spark, sf_dir)
-    return spark.table("relations"), spark.table("entities").select(F.col("id").alias("node"))
-
-
-def g2_neighbourhood(spark, sf_dir):
-    edges, nodes = _graph(spark, sf_dir)
-    return graph.neighbourhood(edges, nodes.where(F.col("node") == START), DEPTH)
-
-
-def g3_shortest_path(spark, sf_dir):
-    edges, nodes = _graph(spark, sf_dir)
-    return graph.shortest_path(edges, nodes.where(F.col("node") == START), nodes.where(F.col("node").startswith(TARGETS)), DEPTH + 1)
-
-
 _WORDS = "list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> ''))"
 _SCORE = "CASE WHEN vec_id % 7 <> 0 THEN vec_id % 101 / 1e2 END"
-_WALK = f"""WITH RECURSIVE steps AS (SELECT src AS node, dst AS other FROM relations UNION ALL SELECT dst, src FROM relations), walks AS (
-  SELECT id AS node, 0 AS level, id AS path FROM entities WHERE id = '{START}'
-  UNION SELECT s.other, w.level + 1, w.path || ' > ' || s.other FROM walks w JOIN steps s ON s.node = w.node WHERE w.level < {{depth}} AND position(s.other || ' ' IN w.path || ' ') = 0)"""
 _WHITE = "'" + S.WHITE + "'"
 
-QUERIES = {f.__name__: f for f in (f1_entropy, f7_confidence, f11_tokens, f26_formats, f30_digests, f31_scrub, f34_overlap, t1_debounce, t3_moves, g2_neighbourhood, g3_shortest_path)}
+QUERIES = {f.__name__: f for f in (f1_entropy, f7_confidence, f11_tokens, f26_formats, f30_digests, f31_scrub, f34_overlap, t1_debounce, t3_moves)}
 #: f31 has no entry, as DuckDB's expressions lack look-behind; a test holds it against Python's.
 ORACLES = {
     "f1_entropy": f"""WITH c AS (SELECT doc_id, unnest(string_split(trim(coalesce(text, ''), {_WHITE}), '')) AS ch FROM documents),
@@ -108,6 +87,4 @@ ORACLES = {
       g AS (SELECT *, t - lag(t) OVER (ORDER BY t, seq) AS gap FROM e), b AS (SELECT *, max(CASE WHEN gap IS NULL OR gap >= {DELAY * 1_000_000} THEN t END) OVER (ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS burst FROM g)
       SELECT burst, path, CASE WHEN bool_or(kind = 'delete') THEN 'delete' ELSE arg_max(kind, (t, seq)) END AS outcome, count(*) AS n_events FROM b GROUP BY burst, path""",
     "t3_moves": "SELECT 'a' || event_id AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS event_type, event_id AS seq FROM events UNION ALL SELECT 'b' || event_id, 'create', event_id FROM events WHERE event_type = 'error'",
-    "g2_neighbourhood": views.with_views(f"{_WALK.format(depth=DEPTH)} SELECT node, min(level) AS level FROM walks GROUP BY node"),
-    "g3_shortest_path": views.with_views(f"{_WALK.format(depth=DEPTH + 1)} SELECT node, level, path FROM (SELECT node, level, path, row_number() OVER (PARTITION BY node ORDER BY level, path) AS rk FROM walks WHERE node LIKE '{TARGETS}%') t WHERE rk = 1"),
 }

@@ -309,8 +309,8 @@ ORACLES = {
     "r2_commands": f"""WITH k AS (SELECT DISTINCT 'DSP OPTM' || chr(CAST(65 + o_orderkey % 26 AS INT)) || 'X' AS c FROM orders WHERE o_orderkey % 4 <= {CLEARANCE}), a AS (SELECT c_custkey AS question, 'DSP OPTM' || chr(CAST(65 + c_custkey % 26 AS INT)) || 'X' AS own FROM customer WHERE c_custkey % 2 = 0),
       r AS (SELECT question, c AS identifier, row_number() OVER (PARTITION BY question ORDER BY c) AS rank FROM a JOIN k ON c <> own) SELECT * FROM r WHERE rank <= 3""",
     "r8_one_per_document": f"WITH h AS ({_HITS}), k AS (SELECT question, topic_id, min(rank) AS best, coalesce(min(rank) FILTER (WHERE record_kind = 'native'), min(rank)) AS chosen FROM h GROUP BY 1, 2) SELECT h.question, id, row_number() OVER (PARTITION BY h.question ORDER BY best) AS rank FROM k JOIN h ON h.question = k.question AND h.topic_id = k.topic_id AND h.rank = chosen",
-    "r8_fold": f"""WITH h AS ({_HITS}), n AS (SELECT question, topic_id, min(rank) AS at FROM h WHERE record_kind = 'native' GROUP BY 1, 2), f AS (SELECT h.*, n.at, record_kind = 'composite' AND n.at IS NOT NULL AND id % 2 = 0 AS folded FROM h LEFT JOIN n USING (question, topic_id)),
-      c AS (SELECT question, at, count(*) AS collapsed FROM f WHERE folded GROUP BY 1, 2) SELECT f.question, id, coalesce(collapsed, 0) AS collapsed, row_number() OVER (PARTITION BY f.question ORDER BY rank) AS rank FROM f LEFT JOIN c ON c.question = f.question AND c.at = f.rank WHERE NOT folded""",
+    "r8_fold": f"""WITH h AS ({_HITS}), n AS (SELECT question, topic_id, min(rank) AS top FROM h WHERE record_kind = 'native' GROUP BY 1, 2), f AS (SELECT h.*, n.top, record_kind = 'composite' AND n.top IS NOT NULL AND id % 2 = 0 AS folded FROM h LEFT JOIN n USING (question, topic_id)),
+      c AS (SELECT question, top, count(*) AS collapsed FROM f WHERE folded GROUP BY 1, 2) SELECT f.question, id, coalesce(collapsed, 0) AS collapsed, row_number() OVER (PARTITION BY f.question ORDER BY rank) AS rank FROM f LEFT JOIN c ON c.question = f.question AND c.top = f.rank WHERE NOT folded""",
     "u5_first_of": f"WITH h AS ({_HITS}) SELECT question, id, id % 2 AS part, row_number() OVER (PARTITION BY question ORDER BY id % 2, rank) AS rank FROM h",
     "p9_scopes": _V("SELECT 'english' AS scope, count(*) AS n FROM records WHERE domain = 'en' UNION ALL SELECT 'The ', count(*) FROM records WHERE instr(lower(title), 'the') > 0 OR instr(lower(doc_identifier), 'doc-7') > 0 UNION ALL SELECT '*', count(*) FROM records"),
     "f9_scores": "SELECT vec_id, 3.5e0 * (vec_id % 5) + 1.5e0 * (vec_id % 9) + CASE WHEN vec_id > 150 THEN 1 ELSE 0 END AS overlap, round(least(0.98e0, 0.48e0 + least(1e0, (vec_id % 9) / 8e0) * 0.36e0 + least(0.14e0, (vec_id % 5) * 0.05e0)), 3) AS score FROM embeddings",

@@ -16,28 +16,25 @@ SQL: dict[str, str] = {
     "p4_key_range": "SELECT id, doc_identifier FROM records WHERE doc_identifier >= 'DOC-1' AND doc_identifier < 'DOC-2'",
     "p5_like_search": "SELECT id, title FROM records WHERE lower(title) LIKE '%the%' AND clearance <= 2",
     "p6_nocase_equality": "SELECT id, name, kind FROM entities WHERE lower(name) = lower('europe') OR lower(name) = lower('CUSTOMER#000000007')",
-    "p7_reverse_containment": "SELECT e.id, e.name, q.item_id FROM (SELECT 1 AS item_id, 'orders from europe and asia in 1996' AS question UNION ALL SELECT 2, 'suppliers of africa') q JOIN entities e ON length(e.norm) >= 3 AND e.kind = 'region' AND position(e.norm IN q.question) > 0",
+    "p7_reverse_containment": "SELECT e.id, e.name, q.item_id FROM (SELECT c_custkey AS item_id, concat('orders from ', lower(r_name), ' by ', lower(c_name)) AS question FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) q JOIN entities e ON length(e.norm) >= 3 AND e.kind = 'region' AND position(e.norm IN q.question) > 0",
     "p9_domain_scope": "SELECT id, domain, package FROM records WHERE CASE WHEN domain = 'en' THEN package IN ('src0', 'src1') WHEN domain = 'de' THEN lower(content) LIKE '%der%' ELSE FALSE END",
-    "p11_query_relations": "SELECT src, dst, relation FROM relations WHERE relation = 'SUPPLIES' AND dst = 'part:7' AND clearance <= 3",
+    "p11_query_relations": "SELECT src, dst, relation FROM relations WHERE relation = 'SUPPLIES' AND clearance <= 1",
     "p12_allow_list": "SELECT id, name, kind FROM entities WHERE kind IN ('region', 'nation', 'supplier') AND clearance <= 2",
     "p13_confidence_floor": "SELECT vec_id, score FROM (SELECT vec_id, round(1e0 / (60 + vec_id % 50), 6) AS score FROM embeddings) t WHERE score >= 0.012",
     "p14_projection": "SELECT id, substring(content, 1, 500) AS snippet, CASE WHEN position('the' IN content) > 0 THEN 'has' ELSE 'none' END AS mark, replace(topic_id, '/', ' > ') AS path, concat(package, ':', doc_identifier) AS label FROM records",
     "p15_noisy_paths": "SELECT page_id, url FROM pages WHERE NOT (url LIKE '%spam%' OR url LIKE '%.git/%' OR url LIKE '%node_modules%')",
-    "p17_tree_visibility": "WITH RECURSIVE seen AS (SELECT n.topic_id, n.depth FROM topic_nodes n WHERE n.depth = 0 AND (CAST(substring(n.topic_id, 2) AS INT) % 4) <= 2 UNION ALL SELECT e.child, s.depth + 1 FROM topic_edges e JOIN seen s ON e.parent = s.topic_id WHERE e.is_primary = 1 AND (CAST(substring(e.child, 2) AS INT) % 4) <= 2) SELECT topic_id, depth FROM seen",
     # Joins
     "j1_postings_join": "SELECT r.id, r.title, t.n FROM records r JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) t ON r.id = t.doc_id WHERE r.clearance <= 2",
-    "j2_neighbours": "SELECT r.src, e.name AS neighbour, r.relation, 'out' AS direction FROM relations r JOIN entities e ON e.id = r.dst WHERE r.src = 'supplier:1' AND e.clearance <= 2 UNION ALL SELECT r.dst, e.name, r.relation, 'in' FROM relations r JOIN entities e ON e.id = r.src WHERE r.dst = 'nation:3' AND e.clearance <= 2",
+    "j2_neighbours": "SELECT r.src, e.name AS neighbour, r.relation, 'out' AS direction FROM relations r JOIN entities e ON e.id = r.dst WHERE r.src LIKE 'supplier:%' AND e.clearance <= 2 UNION ALL SELECT r.dst, e.name, r.relation, 'in' FROM relations r JOIN entities e ON e.id = r.src WHERE r.dst LIKE 'nation:%' AND e.clearance <= 2",
     "j3_named_relations": "SELECT a.name AS source_name, r.relation, b.name AS target_name FROM relations r JOIN entities a ON a.id = r.src JOIN entities b ON b.id = r.dst WHERE r.clearance <= 1 AND r.relation <> 'SUPPLIES'",
-    "j4_docs_of_entities": "SELECT d.id, d.doc_identifier FROM graph_docs d WHERE EXISTS (SELECT 1 FROM doc_entities x WHERE x.doc_id = d.id AND x.entity_id IN ('part:3', 'part:5', 'customer:7')) AND d.clearance <= 2",
+    "j4_docs_of_entities": "SELECT d.id, d.doc_identifier FROM graph_docs d WHERE EXISTS (SELECT 1 FROM doc_entities x WHERE x.doc_id = d.id AND x.entity_id LIKE 'part:%') AND d.clearance <= 2",
     "j5_entity_doc_counts": "SELECT e.id, e.name, count(x.doc_id) AS n_docs FROM entities e LEFT JOIN doc_entities x ON x.entity_id = e.id WHERE e.kind IN ('customer', 'region') GROUP BY e.id, e.name",
     "j6_topic_family": "SELECT a.child AS topic_id, a.parent, b.child AS sibling FROM topic_edges a JOIN topic_edges b ON a.parent = b.parent AND a.child <> b.child WHERE a.is_primary = 1 AND b.is_primary = 1 AND a.child LIKE 'n%'",
     "j7_scalar_lookups": "SELECT n.topic_id, n.name, coalesce(k.children, 0) AS children, f.first_child FROM topic_nodes n LEFT JOIN (SELECT parent, count(*) AS children FROM topic_edges GROUP BY parent) k ON k.parent = n.topic_id LEFT JOIN (SELECT parent, min(child) AS first_child FROM topic_edges GROUP BY parent) f ON f.parent = n.topic_id WHERE n.depth <= 1",
     "j8_topics_with_records": "SELECT n.topic_id, n.name, coalesce(r.n, 0) AS n_records, coalesce(r.low, -1) AS low FROM topic_nodes n LEFT JOIN (SELECT topic_id, count(*) AS n, min(clearance) AS low FROM topic_records GROUP BY topic_id) r ON r.topic_id = n.topic_id",
     "j9_bridges_with_topics": "SELECT b.source_id, s.name AS source_name, b.target_id, t.name AS target_name, b.similarity FROM (SELECT concat('topic:c', c_custkey) AS source_id, concat('topic:n', c_nationkey) AS target_id, round(c_custkey % 100 / 1e2, 6) AS similarity FROM customer) b LEFT JOIN topic_nodes s ON s.topic_id = replace(b.source_id, 'topic:', '') LEFT JOIN topic_nodes t ON t.topic_id = replace(b.target_id, 'topic:', '') WHERE b.similarity >= 0.65",
-    "j10_topic_paths": "WITH RECURSIVE paths AS (SELECT n.topic_id, CAST(n.name AS STRING) AS path, 0 AS depth FROM topic_nodes n JOIN topic_edges e ON e.child = n.topic_id WHERE e.parent IS NULL UNION ALL SELECT n.topic_id, concat(p.path, ' > ', n.name), p.depth + 1 FROM paths p JOIN topic_edges e ON e.parent = p.topic_id AND e.is_primary = 1 JOIN topic_nodes n ON n.topic_id = e.child WHERE p.depth < 40) SELECT topic_id, path, depth FROM paths",
-    "j11_orphans": "SELECT e.id, e.name FROM entities e WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.src = e.id) AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.dst = e.id) AND NOT EXISTS (SELECT 1 FROM doc_entities x WHERE x.entity_id = e.id)",
-    "j15_alarm_topics": "SELECT a.id AS record_id, n.topic_id FROM (SELECT o_orderkey AS id, concat('ALM-', o_custkey, ' link down') AS title FROM orders WHERE o_orderkey % 3 = 0) a JOIN topic_nodes n ON n.topic_id = concat('c', substring(split_part(a.title, ' ', 1), 5))",
-    "j17_links": "SELECT a.page_id AS from_page, b.page_id AS to_page FROM (SELECT page_id, split_part(url, '?', 1) AS target FROM pages) a JOIN (SELECT page_id, url FROM pages WHERE url NOT LIKE '%?%') b ON a.target = b.url AND a.page_id <> b.page_id",
+    "j11_orphans": "SELECT e.id, e.name FROM entities e LEFT JOIN (SELECT src AS id FROM relations WHERE relation = 'IN_REGION' UNION SELECT dst FROM relations WHERE relation = 'IN_REGION' UNION SELECT entity_id FROM doc_entities) k ON k.id = e.id WHERE k.id IS NULL",
+    "j15_alarm_topics": "SELECT a.id AS record_id, n.topic_id FROM (SELECT o_orderkey AS id, concat('ALM-', o_custkey, ' link down') AS title FROM orders) a JOIN topic_nodes n ON n.topic_id = concat('c', substring(split_part(a.title, ' ', 1), 5))",
     "j18_cooccurrence": "SELECT a.entity_id AS customer_id, b.entity_id AS part_id, count(*) AS n FROM doc_entities a JOIN doc_entities b ON a.doc_id = b.doc_id WHERE a.entity_id LIKE 'customer:%' AND b.entity_id LIKE 'part:%' GROUP BY a.entity_id, b.entity_id HAVING count(*) >= 2",
     "j19_two_hop_bridge": "SELECT DISTINCT a.src AS start_id, a.dst AS via_id, b.dst AS end_id FROM relations a JOIN relations b ON a.dst = b.src WHERE a.src LIKE 'customer:%' AND b.relation = 'IN_REGION'",
     "j20_snapshot_diff": "SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS state FROM (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0) o FULL OUTER JOIN (SELECT doc_id AS path, md5(CASE WHEN doc_id % 5 = 0 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.h <> n.h",
@@ -52,8 +49,6 @@ SQL: dict[str, str] = {
     "a8_first_record": "SELECT topic_id, min(id) AS id FROM topic_records GROUP BY topic_id",
     "a9_edge_histogram": "SELECT relation, clearance, count(*) AS n FROM relations GROUP BY relation, clearance",
     "a10_degree": "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM relations UNION ALL SELECT dst FROM relations) t GROUP BY node",
-    "a11_descendants": "WITH RECURSIVE up AS (SELECT child AS node, parent AS above FROM topic_edges WHERE is_primary = 1 AND parent IS NOT NULL UNION ALL SELECT u.node, e.parent FROM up u JOIN topic_edges e ON e.child = u.above AND e.is_primary = 1 WHERE e.parent IS NOT NULL) SELECT above AS topic_id, count(*) AS n_desc FROM up GROUP BY above",
-    "a12_derived_clearance": "WITH own AS (SELECT n.topic_id, n.depth, min(r.clearance) AS c FROM topic_nodes n LEFT JOIN topic_records r ON r.topic_id = n.topic_id GROUP BY n.topic_id, n.depth), nat AS (SELECT o.topic_id, coalesce(o.c, min(k.c)) AS c FROM own o LEFT JOIN topic_edges e ON e.parent = o.topic_id AND e.is_primary = 1 LEFT JOIN own k ON k.topic_id = e.child WHERE o.depth = 1 GROUP BY o.topic_id, o.c), reg AS (SELECT o.topic_id, coalesce(o.c, min(k.c), 3) AS c FROM own o LEFT JOIN topic_edges e ON e.parent = o.topic_id AND e.is_primary = 1 LEFT JOIN nat k ON k.topic_id = e.child WHERE o.depth = 0 GROUP BY o.topic_id, o.c), nat2 AS (SELECT n.topic_id, coalesce(n.c, r.c) AS c FROM nat n JOIN topic_edges e ON e.child = n.topic_id AND e.is_primary = 1 JOIN reg r ON r.topic_id = e.parent) SELECT topic_id, c AS clearance FROM reg UNION ALL SELECT topic_id, c FROM nat2 UNION ALL SELECT o.topic_id, coalesce(o.c, n.c) FROM own o JOIN topic_edges e ON e.child = o.topic_id AND e.is_primary = 1 JOIN nat2 n ON n.topic_id = e.parent WHERE o.depth = 2",
     "a13_mentions": "SELECT entity_id, CAST(sum(n) AS BIGINT) AS mentions, min(doc_id) AS first_doc FROM doc_entities GROUP BY entity_id",
     "a14_dossier": "SELECT x.entity_id, count(DISTINCT d.id) AS docs, round(sum(d.amount), 2) AS amount, min(d.created) AS first_date, max(d.created) AS last_date FROM doc_entities x JOIN graph_docs d ON d.id = x.doc_id WHERE x.entity_id LIKE 'customer:%' AND d.clearance <= 2 GROUP BY x.entity_id",
     "a15_max_amount": "SELECT l_orderkey AS doc_id, round(max(l_extendedprice), 2) AS max_amount FROM lineitem GROUP BY l_orderkey",
@@ -81,16 +76,15 @@ SQL: dict[str, str] = {
     "l11_payload_caps": "SELECT doc_id, entity_id FROM (SELECT doc_id, entity_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity_id) AS rk FROM doc_entities) t WHERE rk <= 3",
     "l12_paging": "SELECT id, substring(content, 1001, 1000) AS page FROM records WHERE length(content) > 1000",
     # Set operations
-    "u1_distinct_union": "SELECT dst AS node FROM relations WHERE src = 'supplier:2' UNION SELECT src FROM relations WHERE dst = 'nation:1'",
+    "u1_distinct_union": "SELECT dst AS node FROM relations WHERE src LIKE 'supplier:%' UNION SELECT src FROM relations WHERE dst LIKE 'nation:%'",
     "u3_both_directions": "SELECT src AS a, dst AS b, 'out' AS direction FROM relations WHERE relation = 'IN_REGION' UNION ALL SELECT dst, src, 'in' FROM relations WHERE relation = 'IN_REGION'",
-    "u5_union_dedupe": "SELECT id, origin FROM (SELECT id, origin, row_number() OVER (PARTITION BY id ORDER BY origin) AS rk FROM (SELECT id, 0 AS origin FROM records WHERE id % 6 = 0 UNION ALL SELECT id, 1 FROM records WHERE id % 4 = 0) t) t2 WHERE rk = 1",
+    "u5_union_dedupe": "SELECT id, origin FROM (SELECT id, origin, row_number() OVER (PARTITION BY id ORDER BY origin) AS rk FROM (SELECT doc_id AS id, 0 AS origin FROM labels UNION ALL SELECT id, 1 FROM records) t) t2 WHERE rk = 1",
     "u7_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     # Lifecycle
     "d1_upsert": "SELECT doc_identifier, title, version FROM (SELECT doc_identifier, title, version, row_number() OVER (PARTITION BY doc_identifier ORDER BY version DESC) AS rk FROM (SELECT doc_identifier, title, 1 AS version FROM records UNION ALL SELECT doc_identifier, concat(title, ' (new)'), 2 FROM records WHERE id % 9 = 0) t) t2 WHERE rk = 1",
     "d2_delete": "SELECT id, doc_identifier FROM records r WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = r.id)",
     "d3_purge_prefix": "SELECT count(*) AS deleted, (SELECT count(*) FROM records) - count(*) AS kept FROM records WHERE lower(topic_id) LIKE '%src1%' OR lower(doc_identifier) LIKE 'doc-1%'",
     "d5_resolve_entities": "SELECT m.norm, m.kind, c.clearance FROM (SELECT norm, kind FROM (SELECT norm, kind, row_number() OVER (PARTITION BY norm ORDER BY seq) AS rk FROM (SELECT lower(n_name) AS norm, 'nation' AS kind, n_nationkey AS seq FROM nation UNION ALL SELECT lower(n_name), 'country', 100 + n_nationkey FROM nation UNION ALL SELECT lower(r_name), 'area', 200 + r_regionkey FROM region) t) t2 WHERE rk = 1) m JOIN (SELECT norm, max(c) AS clearance FROM (SELECT lower(n_name) AS norm, n_nationkey % 4 AS c FROM nation UNION ALL SELECT lower(n_name), n_nationkey % 3 FROM nation UNION ALL SELECT lower(r_name), r_regionkey % 4 FROM region) t GROUP BY norm) c ON c.norm = m.norm",
-    "d8_purge_graph": "SELECT e.id FROM entities e WHERE e.kind IN ('part', 'customer') AND NOT EXISTS (SELECT 1 FROM (SELECT entity_id AS id FROM doc_entities WHERE doc_id % 3 <> 0 UNION SELECT src FROM relations WHERE relation <> 'SUPPLIES' UNION SELECT dst FROM relations WHERE relation <> 'SUPPLIES') k WHERE k.id = e.id)",
     "d9_prune_topics": "WITH gone AS (SELECT n.topic_id FROM topic_nodes n LEFT JOIN (SELECT DISTINCT topic_id FROM topic_records WHERE id % 2 = 0) r ON r.topic_id = n.topic_id WHERE n.depth = 2 AND r.topic_id IS NULL), nations AS (SELECT n.topic_id FROM topic_nodes n WHERE n.depth = 1 AND NOT EXISTS (SELECT 1 FROM topic_edges e LEFT JOIN gone g ON g.topic_id = e.child WHERE e.parent = n.topic_id AND g.topic_id IS NULL)) SELECT topic_id FROM gone UNION ALL SELECT topic_id FROM nations",
     "d10_ingest_modes": "SELECT path, CASE WHEN old_n IS NULL THEN 'new' WHEN new_n = old_n THEN 'skip' WHEN new_n >= 1.5 * old_n THEN 'grow' ELSE 'changed' END AS decision FROM (SELECT a.doc_id AS path, a.n AS new_n, b.n AS old_n FROM (SELECT doc_id, n_chars AS n FROM documents) a LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars * 2 WHEN doc_id % 5 = 1 THEN CAST(floor(n_chars / 2) AS BIGINT) ELSE n_chars END AS n FROM documents WHERE doc_id % 3 <> 0) b ON a.doc_id = b.doc_id) t",
     "d14_relocate": "SELECT id, replace(topic_id, 'en/', 'english/') AS topic_id FROM records WHERE topic_id LIKE 'en/%'",
@@ -98,6 +92,4 @@ SQL: dict[str, str] = {
     # Graph reads
     "g6_statistics": "SELECT kind, count(*) AS n, CAST(sum(CASE WHEN clearance <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS visible FROM entities GROUP BY kind",
     "g10_entity_layer": "SELECT DISTINCT r.src, r.dst, r.relation FROM relations r JOIN entities a ON a.id = r.src JOIN entities b ON b.id = r.dst WHERE a.kind IN ('supplier', 'nation', 'region') AND b.kind IN ('nation', 'region') AND a.clearance <= 2 AND b.clearance <= 2 AND r.clearance <= 2",
-    "g13_expand": "WITH RECURSIVE walk AS (SELECT topic_id, 0 AS level FROM topic_nodes WHERE topic_id = 'r1' UNION ALL SELECT e.child, w.level + 1 FROM walk w JOIN topic_edges e ON e.parent = w.topic_id AND e.is_primary = 1 WHERE w.level < 2) SELECT topic_id, level FROM walk",
-    "g15_topic_children": "SELECT e.parent, e.child, n.name, e.is_primary FROM topic_edges e JOIN topic_nodes n ON n.topic_id = e.child WHERE e.parent IN ('r0', 'n3', 'n4')",
 }

@@ -37,26 +37,34 @@ def hybrid_rrf(spark, sf_dir, k=10):
 
 QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf}
 
-_TERMS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
-_SPARSE = f"""
+_TERMS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _sparse(k):
+    return f"""
 seen AS (SELECT id, {_TERMS.format("content")} AS body, {_TERMS.format("title")} AS head FROM records WHERE clearance <= 2),
 size AS (SELECT count(*) AS n, avg(len(body)) AS mean FROM seen),
 post AS (SELECT id, term, any_value(length) AS length, CAST(sum(w) AS BIGINT) AS tf FROM (
   SELECT id, unnest(body) AS term, len(body) AS length, 1 AS w FROM seen UNION ALL SELECT id, unnest(head), len(body), {R.TITLE_WEIGHT} FROM seen) GROUP BY id, term),
-asked AS (SELECT DISTINCT item_id AS question, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id < 20),
+asked AS (SELECT DISTINCT item_id AS question, unnest({_TERMS.format("text")}) AS term FROM benchmark),
 rare AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sparse_all AS (SELECT question, id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * {R.K1 + 1} / (tf + {R.K1} * ({1 - R.B} + {R.B} * length / mean))), 6) AS score
   FROM post JOIN rare USING (term) JOIN asked USING (term), size GROUP BY question, id),
-sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM sparse_all) WHERE rank <= 10)"""
-_DENSE = """
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM sparse_all) WHERE rank <= {k})"""
+
+
+def _dense_sql(k):
+    return f"""
 dense AS (SELECT * FROM (SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM (
   SELECT q.vec_id AS question, v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings v JOIN embeddings q ON q.vec_id < 20 AND v.vec_id <> q.vec_id)) WHERE rank <= 10)"""
+  FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)) WHERE rank <= {k})"""
+
+
 _FUSED = f"""SELECT question, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST, id) AS rank FROM (
   SELECT question, id, d.rank AS dr, s.rank AS sr, round(coalesce(1.0 / ({R.RRF_K} + d.rank), 0) + coalesce(1.0 / ({R.RRF_K} + s.rank), 0), 6) AS score
   FROM dense d FULL OUTER JOIN sparse s USING (question, id))) WHERE rank <= 10"""
 ORACLES = {
-    "bm25_top_k": views.with_views(f"WITH {_SPARSE} SELECT question, id, score, rank FROM sparse"),
-    "cosine_top_k": views.with_views(f"WITH {_DENSE} SELECT question, id, score, rank FROM dense"),
-    "hybrid_rrf": views.with_views(f"WITH {_SPARSE}, {_DENSE} {_FUSED}"),
+    "bm25_top_k": views.with_views(f"WITH {_sparse(10)} SELECT question, id, score, rank FROM sparse"),
+    "cosine_top_k": views.with_views(f"WITH {_dense_sql(10)} SELECT question, id, score, rank FROM dense"),
+    "hybrid_rrf": views.with_views(f"WITH {_sparse(20)}, {_dense_sql(20)} {_FUSED}"),
 }

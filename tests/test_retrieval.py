@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -21,7 +22,8 @@ def best(scores, k):
 
 
 def terms(text):
-    return [t for t in re.split("[^a-z0-9]+", (text or "").lower()) if t]
+    plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.combining(c))
+    return [t for t in re.split(r"[\W_]+", plain) if t]
 
 
 def lexical(spark, k):
