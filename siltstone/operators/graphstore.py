@@ -60,7 +60,7 @@ def index(graph: Graph, documents: DataFrame, found: DataFrame, edges: DataFrame
     A document that is known is indexed anew: its own postings and relations go first. Entities keep their kind and name.
     """
     renewed = documents.select("doc_id").distinct()
-    old_postings, old_relations = (t.join(renewed, "doc_id", "left_anti") for t in (graph.postings, graph.relations))
+    old_postings, old_relations = (t.join(renewed, "doc_id", "left_anti").select(*t.columns) for t in (graph.postings, graph.relations))
     known = graph.entities.withColumn("seq", F.lit(-1).cast("long"))
     entities = resolve(known.unionByName(found.select("norm", "name", "kind", "clearance", F.col("seq").cast("long").alias("seq"))))
     postings = found.groupBy("doc_id", "norm").agg(F.sum("n").alias("n"), F.min_by("context", "seq").alias("context"))
@@ -81,7 +81,8 @@ def sweep(graph: Graph) -> Graph:
 def delete_documents(graph: Graph, gone: DataFrame, orphans: bool = True) -> Graph:
     """Without the documents (doc_id), their postings and relations and, if asked for, entities that nothing names any more."""
     ids = gone.select("doc_id").where("doc_id is not null").distinct()
-    left = Graph(graph.documents.join(ids, "doc_id", "left_anti"), graph.entities, graph.postings.join(ids, "doc_id", "left_anti"), graph.relations.join(ids, "doc_id", "left_anti"))
+    without = lambda t: t.join(ids, "doc_id", "left_anti").select(*t.columns)
+    left = Graph(without(graph.documents), graph.entities, without(graph.postings), without(graph.relations))
     return sweep(left) if orphans else left
 
 
