@@ -260,6 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
     store.drop("parse")
     first = F.min(F.struct("row", "start", "n", "place", "trigger")).alias("first")
     book = store.put("book", hot.groupBy("content", "content2").agg(F.count(F.lit(1)).alias("weight"), first).select("content", "content2", "weight", "first.*"))
+    store.drop("again")
     several = store.put("several", book.groupBy("trigger").agg(F.count(F.lit(1)).alias("c"), F.min("weight").alias("least")).where("c > 1 and least = 1").select("trigger"))
     by_row = book.join(several, "trigger", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "n", "place", "trigger", "weight")).alias("phrases"))
     entry = "row long, start long, n int, place int, trigger long, weight long, body binary"
@@ -267,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
     cells, single = _cells(entries, store, length, width, most, hash_bits)
     span = "row long, start long, stop long"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work is many times what the bytes suggest
-    bits = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_solve(length, array_bytes), span)
+    bits = store.put("bits", cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_solve(length, array_bytes), span))
     repeated = store.put("repeated", book.where("weight > 1").select("content", "content2"))
     whole = hot.join(repeated, ["content", "content2"], "left_semi").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
     found = whole.unionByName(bits)
@@ -275,6 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
         windows = store.put("windows", single.select("row", (F.col("start") + F.col("place") - F.col("back")).alias("start"), "weight", F.substring("body", F.col("place") - F.col("back") + 1, F.lit(length)).alias("window")))
         classes = store.put("classes", windows.groupBy("window").agg(F.sum("weight").alias("total")).where("total > 1").select("window"))
         found = found.unionByName(windows.where("weight = 1").join(classes, "window", "left_semi").select("row", "start", (F.col("start") + length).alias("stop")))
+    store.drop("entries", "several", "book", *(f"{name}-{level}" for level in range(length.bit_length() + 1) for name in ("crowded", "split")))
     spans = found.groupBy("row").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"))).alias("spans"))
     return named, spans
 
