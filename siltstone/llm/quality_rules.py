@@ -117,10 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = L.MAX_ROWS) -> lis
 
 def apply_rules(docs: DataFrame, rules: list[Conjunction]) -> DataFrame:
     """One row per input row. Null and empty texts have no words, so they fail the base rules."""
-    base = S.with_repeats(S.with_words(docs.select("doc_id", "text")))
-    base = base.withColumn("word_chars", S.word_chars()).withColumn("n_symbols", C.count_chars(F.col("__text"), C.SYMBOLS))
-    lines = S.lines_with_word()
-    base = base.withColumn("__worded", lines).withColumn("n_dup_lines", (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"))
+    base = S.with_lines(S.with_repeats(S.with_words(docs.select("doc_id", "text"))))
+    base = base.withColumn("word_chars", F.col("__chars")).withColumn("n_symbols", C.count_chars(F.col("__text"), C.SYMBOLS))
+    base = base.withColumn("n_dup_lines", (F.size("__lines") - F.col("__own_lines")).cast("long"))
     full = S.with_stats(base).withColumn("__n", F.size("__words").cast("long"))
     failed = (F.col("__n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n"))
     full = full.withColumn("base_failed", failed)

@@ -31,13 +31,17 @@ def lines_with_word() -> Column:
     return F.filter(F.split("__text", "\n"), lambda line: F.length(F.btrim(line, F.lit("".join(C.SPACES)))) > 0)
 
 
+def with_lines(df: DataFrame) -> DataFrame:
+    """Adds __chars and __lines, and the number of distinct lines, to what with_words gave."""
+    return df.withColumn("__chars", word_chars()).withColumn("__lines", lines_with_word()).withColumn("__own_lines", F.size(F.array_distinct("__lines")))
+
+
 def with_stats(df: DataFrame) -> DataFrame:
-    """Adds the columns STATS to what with_words gave."""
+    """Adds the columns STATS to what with_words, or with_lines after it, gave."""
     text, chars = F.col("__text"), F.col("__chars")
+    ready = df if "__lines" in df.columns else with_lines(df)
     return (
-        df.withColumn("__chars", word_chars())
-        .withColumn("__lines", lines_with_word())
-        .withColumn("n_words", F.size("__words").cast("double"))
+        ready.withColumn("n_words", F.size("__words").cast("double"))
         .withColumn("mean_word", _ratio(chars, F.col("n_words")))
         .withColumn("symbol_share", _ratio(C.count_chars(text, C.SYMBOLS), chars))
         .withColumn("bang_share", _ratio(C.count_chars(text, ("!", "?")), chars))
@@ -45,10 +49,10 @@ def with_stats(df: DataFrame) -> DataFrame:
         .withColumn("digit_share", _ratio(F.length(F.regexp_replace(text, "[^0-9]+", "")), chars))
         .withColumn("stop_share", _ratio(C.count_chars(text, (".", ",")), F.col("n_words")))
         .withColumn("distinct_share", _ratio(F.size(F.array_distinct("__words")), F.col("n_words")))
-        .withColumn("dup_line_share", _ratio(F.size("__lines") - F.size(F.array_distinct("__lines")), F.size("__lines")))
+        .withColumn("dup_line_share", _ratio(F.size("__lines") - F.col("__own_lines"), F.size("__lines")))
         .withColumn("words_per_line", _ratio(F.col("n_words"), F.size("__lines")))
         .withColumn("top_line_words", _ratio(F.octet_length(F.element_at(F.concat("__lines", F.array(F.lit(""))), 1)), F.lit(1)))
-        .drop("__chars", "__lines")
+        .drop("__chars", "__lines", "__own_lines")
     )
 
 
