@@ -39,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share. Only on a local master may spark.checkpoint.dir be unset: a temporary folder then serves; on a cluster each host would have its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -56,9 +58,12 @@ class Store:
     """
 
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: All stores of this process that were not dropped as a whole, in the order in which they were made.
+    made: list["Store"] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        Store.made.append(self)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -70,11 +75,20 @@ class Store:
             self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more. Names that are not there are no error."""
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Removes all of the store's tables."""
+        self._delete(self.root)
+        Store.made.remove(self)
+
 
 def row_struct(df: DataFrame) -> Column:
     """All columns of a row in one struct; ``select("struct.*")`` gives them back."""

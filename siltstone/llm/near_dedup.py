@@ -226,6 +226,7 @@ class Linker:
         else:
             extra = put("extra", self.confirmed(more, "second"))
             final = parts if extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
+        self.store.drop("heads", "members", "tested", "links", "more", "extra", "open", "totals", "full", "involved-first", "involved-second")
         groups = classes.where("copies > 1").select("fp1", "fp2", "n_shingles", "node")
         placed = rows.drop("bands", "small").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
         least = placed.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
