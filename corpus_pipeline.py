@@ -38,13 +38,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("near duplicates", dedup), ("personal data", private), ("mixing", mixture), ("packing", packed)]
 
-#: The classifier, the sampling draw over fitted weights and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier, the sampling draw over fitted weights and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. A stage's own tables, and the stage's before it, go as soon as its result is written."""
     store = common.Store(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(common.Store.made)
         docs = store.put(str(k), stage(spark, docs, sf_dir))
+        for own in common.Store.made[before:]:
+            own.close()
+        store.drop(str(k - 1))
     return docs
