@@ -269,8 +269,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, mo
     span = "row long, start long, stop long"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work is many times what the bytes suggest
     bits = store.put("bits", cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_solve(length, array_bytes), span))
-    repeated = store.put("repeated", book.where("weight > 1").select("content", "content2"))
-    whole = hot.join(repeated, ["content", "content2"], "left_semi").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
+    # What occurs once is told by its place, so the copies of one phrase are not dealt by it.
+    alone = store.put("alone", book.where("weight = 1").select("row", "start"))
+    whole = hot.join(alone, ["row", "start"], "left_anti").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
     found = whole.unionByName(bits)
     if single is not None:
         windows = store.put("windows", single.select("row", (F.col("start") + F.col("place") - F.col("back")).alias("start"), "weight", F.substring("body", F.col("place") - F.col("back") + 1, F.lit(length)).alias("window")))
