@@ -70,7 +70,7 @@ def confidence(dense_score: Column, dense_rank: Column, sparse_rank: Column, dim
         found = F.when(F.coalesce(near, F.lit(False)), F.lit(BOTH_LEGS)).otherwise(F.lit(ONE_LEG))
     capped = F.when(lexical, found).otherwise(F.least(found, F.lit(NO_LEXICAL_CAP)))
     missing = F.when(lexical, F.lit(KEYWORD_ONLY)).otherwise(F.lit(0.0))
-    return F.round(F.when(dense_score.isNull(), missing).otherwise(capped), 4)
+    return F.bround(F.when(dense_score.isNull(), missing).otherwise(capped), 4)
 
 
 def _grouped(raw: Column, length: int, pattern: str, form: str, other: Column) -> Column:

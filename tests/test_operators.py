@@ -273,3 +273,15 @@ def test_every_query_has_rows(spark):
     for name in ("r6_route", "r4_search", "f36_answers", "j14_near_pairs", "f35_layout", "s14_html_sections", "f31_scrub"):
         assert not registry.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty(), name
     assert chunking.PROFILES["edge"].chars == 3000
+
+
+def test_telemetry(spark):
+    from siltstone.functions import telemetry
+
+    row = (1, "mail a@b.org", {"Query": "x", "note": "id 123.456.789-09"}, [("p", {"k": "/home/u/x"})], ("q", None))
+    frame = spark.createDataFrame([row, (2, None, None, None, None)], "n long, note string, tags map<string,string>, items array<struct<path:string,more:map<string,string>>>, body struct<a:string,b:int>")
+    assert telemetry.violations(frame) == ["items[].path", "body"]
+    one, two = telemetry.sanitize(frame).orderBy("n").collect()
+    assert one.asDict(True) == {"n": 1, "note": "mail [REDACTED_EMAIL]", "tags": {"note": "id [REDACTED_CPF]"}, "items": [{"more": {"k": "[REDACTED_PATH]"}}]} and two.note is None and two["items"] is None
+    packed = spark.createDataFrame([('{"b": 1, "a": "x"}',), (None,)], "j string").select(telemetry.pack(F.col("j"), b'{"a":"x","b":').alias("p")).select("p", telemetry.unpack(F.col("p"), b'{"a":"x","b":').alias("j"))
+    assert [r.j for r in packed.collect()] == ['{"a":"x","b":1}', None]
