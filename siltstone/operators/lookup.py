@@ -110,33 +110,46 @@ def calibrated(title_hits: Column, body_hits: Column, n_words: Column) -> Column
     return F.bround(F.least(F.lit(0.98), F.lit(0.48) + share * 0.36 + F.least(F.lit(0.14), title_hits * 0.05)), 4)
 
 
+def holding_all(held: DataFrame, branches: DataFrame) -> DataFrame:
+    """(question, stage, id) of records (id, held: their distinct terms) that hold all words of a branch (question, stage, all).
+
+    A branch is looked up by its rarest word only, and the others are tested on what that gives, so frequent words are never joined.
+    """
+    words = branches.select("question", "stage", "all", F.explode("all").alias("term"))
+    used = held.select("id", F.explode("held").alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    rarity = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(rarity, "term").groupBy("question", "stage", "all").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("all"))
+    return rarest.join(used, "term").join(held, "id").where(F.forall("all", lambda w: F.array_contains("held", w))).select("question", "stage", "id")
+
+
 def cascade(records: DataFrame, questions: DataFrame, clearance: int = 3, limit: int = 5) -> DataFrame:
     """(question, id, score, band, overlap, stage, rank): records with all words of a question, then with its four longest, then with any.
 
-    A looser stage is used only where the stricter ones gave fewer than max(5 * limit, 25) records. What is found is sorted by
-    overlap, then BM25.
+    Each stage gives its max(5 * limit, 25) best by BM25, and a looser one is used only where the stricter ones gave fewer records than that.
+    What is found is sorted by overlap, then BM25.
     """
     cap = max(5 * limit, 25)
     seen = records.where(F.col("clearance") <= clearance)
-    posted = places(seen)
-    asked = questions.select("question", meaningful(F.col("text")).alias("words")).where(F.size("words") > 0)
+    asked = G.cut(questions.select("question", meaningful(F.col("text")).alias("words")).where(F.size("words") > 0))
+    held = seen.select("id", F.array_distinct(F.concat(R.terms(F.col("title")), R.terms(F.col("content")))).alias("held"))
     longest = F.transform(F.slice(F.array_sort(F.transform(F.slice("words", 1, LONGEST_OF), lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1, LONGEST), lambda x: x["w"])
     stages = F.array(
         F.struct(F.lit(0).alias("stage"), F.when(F.size("words") >= 2, F.slice("words", 1, ALL_OF)).alias("all")),
         F.struct(F.lit(1).alias("stage"), F.when(F.size("words") >= 4, longest).alias("all")),
     )
-    strict = asked.select("question", F.inline(stages)).where("all is not null").select("question", F.col("stage").alias("branch"), F.posexplode("all").alias("phrase", "w")).withColumn("terms", F.array("w"))
-    loose = asked.select("question", F.posexplode(F.slice("words", 1, ANY_OF)).alias("k", "w")).select("question", (F.lit(2) + F.col("k")).alias("branch"), F.lit(0).alias("phrase"), F.array("w").alias("terms"))
-    hits = match(posted, strict.drop("w").unionByName(loose)).groupBy("question", "id").agg(F.min(F.least(F.col("branch"), F.lit(2))).alias("stage"))
-    scored = relevance(hits, asked.select("question", F.explode("words").alias("term")), seen, posted)
-    # Stage k is asked where all stages before it gave fewer than cap records; each gives cap at the most.
-    own = W.partitionBy("question", "stage").orderBy(F.desc("bm25"), "id")
-    counts = scored.withColumn("__own", F.row_number().over(own)).where(F.col("__own") <= cap)
-    sizes = counts.groupBy("question").agg(F.sum((F.col("stage") < 1).cast("int")).alias("__s0"), F.sum((F.col("stage") < 2).cast("int")).alias("__s1"))
-    open_ = counts.join(sizes, "question").where((F.col("stage") == 0) | ((F.col("stage") == 1) & (F.col("__s0") < cap)) | ((F.col("stage") == 2) & (F.col("__s1") < cap)))
-    texts = seen.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("__title"), F.lower(F.substring(F.coalesce("content", F.lit("")), 1, SCORED_CHARS)).alias("__body"), F.length(F.coalesce("content", F.lit(""))).alias("__length"))
-    joined = open_.select("question", "id", "stage", "bm25").join(texts, "id").join(asked, "question")
-    hits_in = lambda c: F.size(F.filter("words", lambda w: F.contains(R.folded(F.col(c)), w)))
+    posted, terms = places(seen), asked.select("question", F.explode("words").alias("term"))
+    strict = relevance(holding_all(held, asked.select("question", F.inline(stages)).where("all is not null")), terms, seen, posted)
+    best = W.partitionBy("question", "stage").orderBy(F.desc("bm25"), "id")
+    strict = G.cut(strict.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= cap).select("question", "stage", "id"))
+    sizes = strict.groupBy("question").agg(F.countDistinct(F.when(F.col("stage") == 0, F.col("id"))).alias("first"), F.countDistinct("id").alias("both"))
+    second = strict.join(sizes, "question").where((F.col("stage") == 0) | (F.col("first") < cap)).select("question", "stage", "id")
+    open_ = asked.join(sizes, "question", "left").where(F.coalesce(F.when(F.col("first") >= cap, F.col("first")).otherwise(F.col("both")), F.lit(0)) < cap)
+    loose = R.bm25(seen, open_.select("question", F.array_join(F.slice("words", 1, ANY_OF), " ").alias("text")), cap, clearance).select("question", F.lit(2).alias("stage"), "id")
+    chosen = G.cut(second.unionByName(loose).groupBy("question", "id").agg(F.min("stage").alias("stage")))
+    scored = relevance(chosen, terms, seen, posted)
+    texts = seen.select("id", R.folded(F.col("title")).alias("__title"), R.folded(F.substring(F.coalesce("content", F.lit("")), 1, SCORED_CHARS)).alias("__body"), F.length(F.coalesce("content", F.lit(""))).alias("__length"))
+    joined = scored.select("question", "id", "stage", "bm25").join(texts, "id").join(asked, "question")
+    hits_in = lambda c: F.size(F.filter("words", lambda w: F.contains(F.col(c), w)))
     measured = joined.withColumn("__t", hits_in("__title")).withColumn("__b", hits_in("__body"))
     final = measured.select("question", "id", "stage", "bm25", F.round(overlap_score(F.col("__t"), F.col("__b"), F.col("__length")), 6).alias("overlap"), calibrated(F.col("__t"), F.col("__b"), F.size("words")).alias("score"))
     ranked = _best(final, limit, F.desc("overlap"), F.desc("bm25"))

@@ -96,20 +96,18 @@ def test_cascade_against_python(spark):
         every = list(dict.fromkeys(re.findall(r"[^\W_]+", fold(text))))
         asked = [w for w in every if w not in lookup.STOP_WORDS and len(w) > 1 and not re.fullmatch(r"\d{1,2}", w)] or every[:8]
         df = {w: sum(w in a or w in b for a, b in tokens.values()) for w in asked}
-        score = lambda i: sum(math.log(1 + (len(seen) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens[i][1]) / mean)) for w in asked if (tf := 10 * tokens[i][0].count(w) + tokens[i][1].count(w)))  # noqa: B023, E731
+        score = lambda i, of=asked: sum(math.log(1 + (len(seen) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens[i][1]) / mean)) for w in of if (tf := 10 * tokens[i][0].count(w) + tokens[i][1].count(w)))  # noqa: B023, E731
         has = lambda i, w: w in tokens[i][0] or w in tokens[i][1]
         stages = [asked[:7] if len(asked) > 1 else None, sorted(asked[:8], key=lambda w: -len(w))[:4] if len(asked) > 3 else None]
+        stages.append(None)
         stage = {}
-        for i in tokens:
-            for n, need in enumerate(stages):
-                if need and all(has(i, w) for w in need):
+        for n, need in enumerate(stages):
+            if len(stage) < 25:
+                hits = [i for i in tokens if (need and all(has(i, w) for w in need)) or (n == 2 and any(has(i, w) for w in asked[:10]))]
+                of = asked[:10] if n == 2 else asked
+                for i in sorted(hits, key=lambda i: (-round(score(i, of), 6), i))[:25]:
                     stage.setdefault(i, n)
-            if any(has(i, w) for w in asked[:10]):
-                stage.setdefault(i, 2)
-        chosen = []
-        for n in range(3):
-            if len(chosen) < 25:
-                chosen += sorted((i for i in stage if stage[i] == n), key=lambda i: (-round(score(i), 6), i))[:25]
+        chosen = list(stage)
         body = {r[0]: (fold(r[2]), fold(r[3][:8000]), len(r[3])) for r in seen}
         overlap = lambda i: 3.5 * sum(w in body[i][0] for w in asked) + 1.5 * sum(w in body[i][1] for w in asked) + (body[i][2] > 1500)  # noqa: B023, E731
         best = sorted(chosen, key=lambda i: (-overlap(i), -round(score(i), 6), i))[:5]
