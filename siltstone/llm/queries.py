@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, topk
+from . import clusters, fill_middle, html_text, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decision_list_rules": quality_rules.query,
     "op9_raked_mixing": mixing.query,
     "op10_ball_tree_topk": topk.query,
+    "op11_hamerly_clusters": clusters.query,
+    "op12_fill_in_middle": fill_middle.query,
 }
 
-ORACLES = {"op3_hyperminhash_near_dedup": near_dedup.SQL, "op10_ball_tree_topk": topk.SQL}
+ORACLES = {"op3_hyperminhash_near_dedup": near_dedup.SQL, "op10_ball_tree_topk": topk.SQL, "op11_hamerly_clusters": clusters.SQL, "op12_fill_in_middle": fill_middle.SQL}
