@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, fill_middle, html_text, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, topk
+from . import clusters, fill_middle, html_text, lm_score, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, topk
 
 QUERIES = {
     "op1_hash_tree_sharding": sharding.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ball_tree_topk": topk.query,
     "op11_hamerly_clusters": clusters.query,
     "op12_fill_in_middle": fill_middle.query,
+    "op13_bloom_lm_score": lm_score.query,
 }
 
 ORACLES = {"op3_hyperminhash_near_dedup": near_dedup.SQL, "op10_ball_tree_topk": topk.SQL, "op11_hamerly_clusters": clusters.SQL, "op12_fill_in_middle": fill_middle.SQL}
