@@ -3,7 +3,7 @@
 A count c of an n-gram is quantised to level 1 + floor(log_b c) and the n-gram goes into a Bloom filter once
 for each level up to its own. A lookup probes level 1, 2, ... until one is missing; the last one found stands
 for the mean of the counts that share it. An n-gram's level is no higher than that of the n-grams inside
-it, which takes away most false hits. Counts of words are exact, in a table keyed by 128-bit hashes. The
+it, which takes away most false hits. Counts of words are exact, in a table keyed by 96-bit hashes. The
 smoothed probability of a word after a history interpolates each order with the next lower one,
 
     p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m),    p(w) = (c(w) + 1/2) / (N + (V + 1) / 2).
@@ -36,9 +36,9 @@ U = np.uint64
 ORDER = 3
 #: Base of the count levels, and the weight m of the next lower order.
 LEVEL_BASE, PRIOR = 1.5, 64.0
-#: Probes for each level, and filter bits for each level of each n-gram: about 0.3 % of the probes for what is not there are all set.
-PROBES, BITS = 8, 12
-CHUNK_BYTES = 4 << 20
+#: Probes for each level, and filter bits for each level of each n-gram: about 0.5 % of the probes for what is not there are all set.
+PROBES, BITS = 5, 12
+CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 #: n-gram entries for each segment of the filter, and training tokens for each segment of the word table.
 SEGMENT_ENTRIES, SEGMENT_TOKENS = 1 << 19, 1 << 21
 #: Up to so many bytes of segments are broadcast.
@@ -48,7 +48,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_END = (U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B))
+_END = (U(0x6A09E667F3BCC909), U(0x84CAA73B))
 _STEP = U(0x9E3779B97F4A7C15)
 _HALF, _LOW = U(32), U(0xFFFFFFFF)
 #: The least count of each level.
@@ -65,6 +65,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 1, F.lit(False))
 
 
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 and 32 bits for each token of the rows, and the number of tokens of each row."""
+    low = _LOWER[data]
+    word = ~_SPACE[low]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | edge[1:])) + 1 if len(data) else starts
+    n = np.diff(np.searchsorted(starts, offsets)) + 1
+    words = np.ones(len(starts) + len(n), dtype=bool)
+    words[np.cumsum(n) - 1] = False
+    a, b = np.full(len(words), _END[0]), np.full(len(words), _END[1])
+    if len(starts):
+        a[words] = H.Prefix(low).of(starts, stops)
+        b[words] = H.Prefix(low, H.BYTES_2).of(starts, stops) & _LOW
+    return a, b, n
+
+
 @dataclass
 class Tokens:
     """The tokens of a chunk: two hashes each, the row, and the place within the row. Every row ends with the end token."""
@@ -76,23 +94,17 @@ class Tokens:
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Tokens:
-        low = _LOWER[data]
-        word = ~_SPACE[low]
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[offsets] = True
-        starts = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
-        stops = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | edge[1:])) + 1 if len(data) else starts
-        first = np.searchsorted(starts, offsets)
-        n = np.diff(first) + 1
+        row, parts, sizes = 0, [(np.zeros(0, U), np.zeros(0, U))], []
+        while row < len(offsets) - 1:  # hashed in blocks, as prefix sums take many times the text
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
+            *hashes, n = _hashed(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
+            parts.append(hashes)
+            sizes.append(n)
+            row = to
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         ends = np.cumsum(n) - 1
-        words = np.ones(len(starts) + len(n), dtype=bool)
-        words[ends] = False
-        a, b = np.full(len(words), _END[0]), np.full(len(words), _END[1])
-        if len(starts):
-            a[words] = H.Prefix(low).of(starts, stops)
-            b[words] = H.Prefix(low, H.BYTES_2).of(starts, stops)
-        row = np.repeat(np.arange(len(n)), n)
-        return cls(a, b, row, np.arange(len(words)) - np.repeat(ends - n + 1, n))
+        return cls(a, b, np.repeat(np.arange(len(n)), n), np.arange(len(a)) - np.repeat(ends - n + 1, n))
 
     def only(self, rows: np.ndarray) -> Tokens:
         keep = rows[self.row]
@@ -186,14 +198,37 @@ def levels(keys: np.ndarray, body: bytes | None) -> np.ndarray:
 
 
 def pack_words(a: np.ndarray, b: np.ndarray, counts: np.ndarray | None = None) -> bytes:
-    return a.astype("<u8").tobytes() + b.astype("<u8").tobytes() + (b"" if counts is None else counts.astype("<u8").tobytes())
+    return a.astype("<u8").tobytes() + (b"" if counts is None else counts.astype("<u8").tobytes()) + b.astype("<u4").tobytes()
+
+
+def open_words(cell: bytes | pa.Buffer, columns: int) -> list[np.ndarray]:
+    """The 8-byte columns, then the 4-byte one, as they were packed."""
+    n = len(cell) // (8 * columns + 4)
+    return [np.frombuffer(cell, "<u8", n, 8 * n * k) for k in range(columns)] + [np.frombuffer(cell, "<u4", n, 8 * n * columns).astype(U)]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as differences of three bytes, or as they are where one difference needs more."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u4")
+    if steps.max(initial=0) >= 1 << 24:
+        return b"\4" + keys.astype("<u4").tobytes()
+    return b"\3" + steps.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def open_keys(cell: bytes | pa.Buffer) -> np.ndarray:
+    body = np.frombuffer(cell, np.uint8)
+    if body[0] == 4:
+        return np.frombuffer(body[1:].tobytes(), "<u4")
+    steps = np.zeros((len(body) // 3, 4), np.uint8)
+    steps[:, :3] = body[1:].reshape(-1, 3)
+    return np.cumsum(steps.view("<u4")[:, 0], dtype=np.uint32)
 
 
 def counts_of(a: np.ndarray, b: np.ndarray, body: bytes | None) -> np.ndarray:
     """The counts of words in a segment of the word table; 0 for those that are not there."""
     if not body:
         return np.zeros(len(a), np.int64)
-    x, y, n = np.frombuffer(body, "<u8").reshape(3, -1)
+    x, n, y = open_words(body, 2)
     low, high = np.searchsorted(x, a, side="left"), np.searchsorted(x, a, side="right")
     out = np.zeros(len(a), np.int64)
     while (open_ := np.flatnonzero(low < high)).size:  # one step, but where words share 64 bits
@@ -242,7 +277,7 @@ def _counted(order: int, gram_segments: int, word_segments: int):
                 rows = [(WORDS, s, pack_words(a[x:y], b[x:y]), n[x:y].astype("<u4").tobytes()) for s, x, y in runs(word_segment(a, word_segments))]
                 keys, n = distinct(np.concatenate([k for _, k in tokens.grams(order, gram_segments)]))
                 low = keys.astype("<u4")  # drops the segment
-                rows += [(GRAMS, s, low[x:y].tobytes(), n[x:y].astype("<u4").tobytes()) for s, x, y in runs(keys >> _HALF)]
+                rows += [(GRAMS, s, pack_keys(low[x:y]), n[x:y].astype("<u4").tobytes()) for s, x, y in runs(keys >> _HALF)]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "segment", "keys", "counts"])
 
@@ -253,15 +288,14 @@ def _segment(key: tuple, table: pa.Table) -> pa.Table:
     """One segment of the word table or of the filter, from all counts that belong there."""
     kind, segment = key[0].as_py(), key[1].as_py()
     counts = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table["counts"]]).astype(np.int64)
-    cells = [np.frombuffer(c.as_buffer(), "<u8" if kind == WORDS else "<u4") for c in table["keys"]]
     if kind == WORDS:
-        a, b = (np.concatenate([c[k * len(c) // 2 : (k + 1) * len(c) // 2] for c in cells]) for k in (0, 1))
+        a, b = (np.concatenate(x) for x in zip(*(open_words(c.as_buffer(), 1) for c in table["keys"]), strict=True))
         a, b, _, where = distinct_words(a, b)
         total = np.zeros(len(a), np.int64)
         np.add.at(total, where, counts)
         body, n = pack_words(a, b, total), len(a)
     else:
-        keys = np.concatenate(cells)
+        keys = np.concatenate([open_keys(c.as_buffer()) for c in table["keys"]])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -309,7 +343,7 @@ class Scorer:
         for segment, x, y in self.word_runs:
             yield WORDS, segment, pack_words(self.a[x:y], self.b[x:y])
         for segment, x, y in self.gram_runs:
-            yield GRAMS, segment, self.low[x:y].tobytes()
+            yield GRAMS, segment, pack_keys(self.low[x:y])
 
     def known(self, bodies: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the words and levels of the keys, from the segments at hand."""
@@ -370,10 +404,9 @@ def score(chunks: DataFrame, model: Model, store: C.Store, broadcast_bytes: int
         out = []
         for cell in asked["keys"]:
             if kind == WORDS:
-                a, b = np.frombuffer(cell.as_buffer(), "<u8").reshape(2, -1)
-                out.append(counts_of(a, b, body).astype("<u8").tobytes())
+                out.append(counts_of(*open_words(cell.as_buffer(), 1), body).astype("<u8").tobytes())
             else:
-                out.append(levels(np.frombuffer(cell.as_buffer(), "<u4"), body).tobytes())
+                out.append(levels(open_keys(cell.as_buffer()), body).tobytes())
         return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "found": pa.array(out, pa.binary())})
 
     def answered(chunk: pa.Table, answers: pa.Table) -> pa.Table:

@@ -110,11 +110,19 @@ def test_filter_has_no_false_misses_and_few_false_hits():
     body = M.build_filter(known, counts)
     found, true = M.levels(known, body), np.searchsorted(M.LEVELS, counts, side="right")
     assert (found >= true).all() and (found == true).mean() > 0.99
-    assert (M.levels(other, body) > 0).mean() < 0.006
+    assert (M.levels(other, body) > 0).mean() < 0.008
     assert (M.levels(other, None) == 0).all() and len(M.build_filter(known[:0], counts[:0])) == 8
     assert (M.MEANS[1:20] >= M.LEVELS[:19]).all() and M.MEANS[1] == 1.0
 
 
+def test_packed_keys_come_back():
+    draw = np.random.default_rng(7)
+    for n in (0, 1, 2, 50, 5000):
+        keys = np.unique(draw.integers(0, 1 << 32, n, dtype=np.uint32))
+        assert (M.open_keys(M.pack_keys(keys)) == keys).all()
+    assert len(M.pack_keys(keys)) == 1 + 3 * len(keys)  # dense keys take three bytes
+
+
 def test_word_table_tells_words_with_one_common_hash():
     a = np.array([5, 5, 5, 9], np.uint64)
     b = np.array([1, 2, 1, 1], np.uint64)
