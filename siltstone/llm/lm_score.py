@@ -65,14 +65,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 1, F.lit(False))
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the rows start and stop."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = ~_SPACE[data]
+    starts, stops = word.copy(), word.copy()
+    starts[1:] &= ~word[:-1]
+    stops[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[inner], stops[inner - 1] = word[inner], word[inner - 1]
+    return np.flatnonzero(starts), np.flatnonzero(stops) + 1
+
+
 def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64 and 32 bits for each token of the rows, and the number of tokens of each row."""
+    starts, stops = _words(data, offsets)
     low = _LOWER[data]
-    word = ~_SPACE[low]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(word & (~np.concatenate([[False], word[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
-    stops = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | edge[1:])) + 1 if len(data) else starts
     n = np.diff(np.searchsorted(starts, offsets)) + 1
     words = np.ones(len(starts) + len(n), dtype=bool)
     words[np.cumsum(n) - 1] = False
@@ -156,13 +165,20 @@ def word_segment(a: np.ndarray, segments: int) -> np.ndarray:
     return ((a >> _HALF) * U(segments)) >> _HALF
 
 
-def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
-    """The bits, one probe after the other, of keys at a level in a filter of so many bits."""
-    mixed = H.mix(keys.astype(U) | U(level << 32))
-    step = (mixed >> _HALF) | U(1)
-    for _ in range(PROBES):
-        yield (((mixed & _LOW) * U(size)) >> _HALF).astype(np.int64)
-        mixed = mixed + step
+class _Probes:
+    """The bits, one probe after the other, that keys at a level have in a filter of so many bits."""
+
+    def __init__(self, keys: np.ndarray, level: int, size: int):
+        mixed = H.mix(keys.astype(U) | U(level << 32))
+        self.at, self.step, self.size = mixed & _LOW, (mixed >> _HALF) | U(1), U(size)
+
+    def next(self) -> np.ndarray:
+        out = ((self.at * self.size) >> _HALF).view(np.int64)
+        self.at = (self.at + self.step) & _LOW
+        return out
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.at, self.step = self.at[rows], self.step[rows]
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -171,8 +187,9 @@ def build_filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
     size = max(64, -(-int(level.sum()) * BITS // 8) * 8)
     bits = np.zeros(size, dtype=bool)
     for j in range(1, int(level.max(initial=0)) + 1):
-        for at in _places(keys[level >= j], j, size):
-            bits[at] = True
+        probes = _Probes(keys[level >= j], j, size)
+        for _ in range(PROBES):
+            bits[probes.next()] = True
     return np.packbits(bits).tobytes()
 
 
@@ -184,13 +201,13 @@ def levels(keys: np.ndarray, body: bytes | None) -> np.ndarray:
     bits = np.frombuffer(body, np.uint8)
     alive = np.arange(len(keys))
     for j in range(1, len(LEVELS)):
-        mixed_keys, left = keys[alive], np.arange(len(alive))
-        for probe, at in enumerate(_places(mixed_keys, j, 8 * len(bits))):
-            at = at if probe == 0 else at[left]
-            left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
-            if not len(left):
-                break
-        alive = alive[left]
+        probes = _Probes(keys[alive], j, 8 * len(bits))
+        for _ in range(PROBES):
+            at = probes.next()
+            hit = (np.take(bits, at >> 3) << (at & 7).astype(np.uint8)) & 128 != 0
+            if not hit.all():
+                alive = alive[hit]
+                probes.keep(hit)
         if not len(alive):
             break
         out[alive] = j
@@ -250,7 +267,7 @@ def _chunked(chunk_bytes: int):
                 size = len(offsets) - 1
                 out = batch.column(2).slice(row, size)
                 learn = ~out.to_numpy(zero_copy_only=False).astype(bool)
-                tokens = np.bincount(Tokens.of(data, offsets).row, minlength=size)
+                tokens = np.diff(np.searchsorted(_words(data, offsets)[0], offsets)) + 1
                 lists = [pa.array([x.to_pylist()], pa.list_(kind)) for x, kind in ((batch.column(0).slice(row, size), pa.int64()), (out, pa.bool_()), (pa.array(offsets[1:]), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data.tobytes()], pa.binary()), pa.array([int(tokens[learn].sum())], pa.int64())], names=names)
                 number += 1
@@ -339,6 +356,15 @@ class Scorer:
         self.gram_runs = list(runs(self.keys >> _HALF))
         self.low = self.keys.astype("<u4")
 
+    def places(self) -> np.ndarray:
+        """The place among the distinct keys of each n-gram's key, order by order."""
+        keys = np.concatenate([k for _, k in self.grams])
+        order = np.argsort(keys)
+        ranked = keys[order]
+        out = np.zeros(len(keys), np.int64)
+        out[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
+        return out
+
     def asks(self) -> Iterator[tuple[int, int, bytes]]:
         for segment, x, y in self.word_runs:
             yield WORDS, segment, pack_words(self.a[x:y], self.b[x:y])
@@ -357,9 +383,11 @@ class Scorer:
         p = (count + 0.5) / (total + 0.5 * (types + 1))
         base = np.log10(p)
         history, lower = count, None  # how often what stands before the last word was seen; levels of the n-grams one order below
+        where, start = self.places(), 0
         for at, keys in self.grams:
             level = np.zeros(len(count), np.uint8)
-            level[at] = found[np.searchsorted(self.keys, keys)]
+            level[at] = found[where[start : start + len(keys)]]
+            start += len(keys)
             if lower is not None:
                 level[at] = np.minimum(level[at], np.minimum(lower[at], lower[at - 1]))
             seen = MEANS[level]
@@ -401,12 +429,15 @@ def score(chunks: DataFrame, model: Model, store: C.Store, broadcast_bytes: int
 
     def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         kind, body = key[0].as_py(), held["body"][0].as_py() if held.num_rows else None
-        out = []
-        for cell in asked["keys"]:
-            if kind == WORDS:
-                out.append(counts_of(*open_words(cell.as_buffer(), 1), body).astype("<u8").tobytes())
-            else:
-                out.append(levels(open_keys(cell.as_buffer()), body).tobytes())
+        out, cells, held_keys = [], [c.as_buffer() for c in asked["keys"]], []
+        if kind == WORDS:
+            out = [counts_of(*open_words(c, 1), body).astype("<u8").tobytes() for c in cells]
+        for i, cell in enumerate(cells if kind == GRAMS else ()):  # many chunks' keys at a time
+            held_keys.append(open_keys(cell))
+            if sum(map(len, held_keys)) >= SEGMENT_ENTRIES or i == len(cells) - 1:
+                found = levels(np.concatenate(held_keys), body)
+                out += [x.tobytes() for x in np.split(found, np.cumsum([len(k) for k in held_keys])[:-1])]
+                held_keys = []
         return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "segment": asked["segment"], "found": pa.array(out, pa.binary())})
 
     def answered(chunk: pa.Table, answers: pa.Table) -> pa.Table:
