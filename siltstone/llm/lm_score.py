@@ -38,7 +38,7 @@ ORDER = 3
 LEVEL_BASE, PRIOR = 1.5, 64.0
 #: Probes for each level, and filter bits for each level of each n-gram: about 0.5 % of the probes for what is not there are all set.
 PROBES, BITS = 5, 12
-CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20
 #: n-gram entries for each segment of the filter, and training tokens for each segment of the word table.
 SEGMENT_ENTRIES, SEGMENT_TOKENS = 1 << 19, 1 << 21
 #: Up to so many bytes of segments are broadcast.
@@ -113,22 +113,19 @@ class Tokens:
         a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
         n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         ends = np.cumsum(n) - 1
-        return cls(a, b, np.repeat(np.arange(len(n)), n), np.arange(len(a)) - np.repeat(ends - n + 1, n))
+        return cls(a, b, np.repeat(np.arange(len(n), dtype=np.int32), n), (np.arange(len(a)) - np.repeat(ends - n + 1, n)).astype(np.int32))
 
     def only(self, rows: np.ndarray) -> Tokens:
         keep = rows[self.row]
         return Tokens(self.a[keep], self.b[keep], self.row[keep], self.place[keep])
 
-    def grams(self, order: int, segments: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order from 2: where n-grams end, and their keys as segment and 32 bits."""
-        out, keys = [], self.a
+    def grams(self, order: int, segments: int) -> Iterator[np.ndarray]:
+        """For each order from 2, the keys of its n-grams in the order of their last tokens, as segment and 32 bits."""
+        keys = self.a
         for n in range(2, order + 1):
-            before = np.concatenate([keys[:1], keys[:-1]])
-            keys = H.mix(before * _STEP + self.a + U(n))
-            at = np.flatnonzero(self.place >= n - 1)
-            own = keys[at]
-            out.append((at, ((((own >> _HALF) * U(segments)) >> _HALF) << _HALF) | (own & _LOW)))
-        return out
+            keys = H.mix(np.concatenate([keys[:1], keys[:-1]]) * _STEP + self.a + U(n))
+            own = keys[self.place >= n - 1]
+            yield ((((own >> _HALF) * U(segments)) >> _HALF) << _HALF) | (own & _LOW)
 
 
 def distinct_words(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +289,7 @@ def _counted(order: int, gram_segments: int, word_segments: int):
                 tokens = Tokens.of(data, offsets).only(~held)
                 a, b, n, _ = distinct_words(tokens.a, tokens.b)
                 rows = [(WORDS, s, pack_words(a[x:y], b[x:y]), n[x:y].astype("<u4").tobytes()) for s, x, y in runs(word_segment(a, word_segments))]
-                keys, n = distinct(np.concatenate([k for _, k in tokens.grams(order, gram_segments)]))
+                keys, n = distinct(np.concatenate([np.zeros(0, U), *tokens.grams(order, gram_segments)]))
                 low = keys.astype("<u4")  # drops the segment
                 rows += [(GRAMS, s, pack_keys(low[x:y]), n[x:y].astype("<u4").tobytes()) for s, x, y in runs(keys >> _HALF)]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
@@ -348,34 +345,38 @@ class Scorer:
     """What a chunk asks for, and its scores once that is known."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int, gram_segments: int, word_segments: int):
-        self.tokens, self.order = Tokens.of(data, offsets), order
-        self.a, self.b, _, self.words = distinct_words(self.tokens.a, self.tokens.b)
-        self.word_runs = list(runs(word_segment(self.a, word_segments)))
-        self.grams = self.tokens.grams(order, gram_segments)
-        self.keys, _ = distinct(np.concatenate([k for _, k in self.grams]))
-        self.gram_runs = list(runs(self.keys >> _HALF))
-        self.low = self.keys.astype("<u4")
-
-    def places(self) -> np.ndarray:
-        """The place among the distinct keys of each n-gram's key, order by order."""
-        keys = np.concatenate([k for _, k in self.grams])
-        order = np.argsort(keys)
-        ranked = keys[order]
-        out = np.zeros(len(keys), np.int64)
-        out[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1])
-        return out
+        tokens = Tokens.of(data, offsets)
+        self.place, self.order, self.word_segments = tokens.place, order, word_segments
+        self.a, self.b, _, self.words = distinct_words(tokens.a, tokens.b)
+        self.keys = np.concatenate([np.zeros(0, U), *tokens.grams(order, gram_segments)])
 
     def asks(self) -> Iterator[tuple[int, int, bytes]]:
-        for segment, x, y in self.word_runs:
+        for segment, x, y in runs(word_segment(self.a, self.word_segments)):
             yield WORDS, segment, pack_words(self.a[x:y], self.b[x:y])
-        for segment, x, y in self.gram_runs:
-            yield GRAMS, segment, pack_keys(self.low[x:y])
+        keys, _ = distinct(self.keys)
+        low = keys.astype("<u4")
+        for segment, x, y in runs(keys >> _HALF):
+            yield GRAMS, segment, pack_keys(low[x:y])
 
     def known(self, bodies: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the words and levels of the keys, from the segments at hand."""
-        counts = [counts_of(self.a[x:y], self.b[x:y], bodies.get((WORDS, s))) for s, x, y in self.word_runs]
-        found = [levels(self.low[x:y], bodies.get((GRAMS, s))) for s, x, y in self.gram_runs]
-        return np.concatenate(counts), np.concatenate(found) if found else np.zeros(0, np.uint8)
+        """Counts of the distinct words and levels of the distinct keys, from the segments at hand."""
+        counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for kind, segment, cell in self.asks():
+            if kind == WORDS:
+                counts.append(counts_of(*open_words(cell, 1), bodies.get((WORDS, segment))))
+            else:
+                found.append(levels(open_keys(cell), bodies.get((GRAMS, segment))))
+        return np.concatenate(counts), np.concatenate(found)
+
+    def spread(self, found: np.ndarray) -> np.ndarray:
+        """The levels of the n-grams, order by order, from those of the distinct keys."""
+        order = np.argsort(self.keys)
+        ranked = self.keys[order]
+        rank = np.zeros(len(order), np.int32)
+        np.cumsum(ranked[1:] != ranked[:-1], out=rank[1:], dtype=np.int32)
+        out = np.zeros(len(order), np.uint8)
+        out[order] = found[rank]
+        return out
 
     def scores(self, counts: np.ndarray, found: np.ndarray, total: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
         """For each row: tokens, known tokens, base score and score."""
@@ -383,11 +384,11 @@ class Scorer:
         p = (count + 0.5) / (total + 0.5 * (types + 1))
         base = np.log10(p)
         history, lower = count, None  # how often what stands before the last word was seen; levels of the n-grams one order below
-        where, start = self.places(), 0
-        for at, keys in self.grams:
-            level = np.zeros(len(count), np.uint8)
-            level[at] = found[where[start : start + len(keys)]]
-            start += len(keys)
+        found, start = self.spread(found), 0
+        for n in range(2, self.order + 1):
+            at, level = np.flatnonzero(self.place >= n - 1), np.zeros(len(count), np.uint8)
+            level[at] = found[start : start + len(at)]
+            start += len(at)
             if lower is not None:
                 level[at] = np.minimum(level[at], np.minimum(lower[at], lower[at - 1]))
             seen = MEANS[level]
@@ -395,7 +396,7 @@ class Scorer:
                 seen[at] = np.minimum(seen[at], np.minimum(count[at], count[at - 1]))
             p[at] = (seen[at] + prior * p[at]) / (history[at - 1] + prior)
             history, lower = seen, level
-        starts = np.flatnonzero(self.tokens.place == 0)
+        starts = np.flatnonzero(self.place == 0)
         return tuple(np.add.reduceat(x, starts) for x in (np.ones(len(count), np.int64), (count > 0).astype(np.int64), base, np.log10(p)))
 
 
