@@ -39,3 +39,8 @@ def test_tables_of_any_kind(spark):
     rows = [(1, "u", "<p>a", "x", 9)] * 3 + [(None, None, None, None, None), (2, "v", "", "y", 1), (3, "w", "<b>" * 20000 + "deep", "", 0)]
     found = sorted(map(str, ((r.page_id, r.text, r.n_chars, r.n_lines) for r in html_text.extract_pages(spark.createDataFrame(rows, schema)).collect())))
     assert found == sorted(map(str, [(1, "a", 1, 1)] * 3 + [(None, "", 0, 0), (2, "", 0, 0), (3, "deep", 4, 1)]))
+
+
+def test_comments_that_end_at_once():
+    assert html_text.extract("<!-->hello<p>x</p><!-- c -->y") == "hello\n\nx\n\ny"
+    assert html_text.extract("<!--->a<!----->b<!-- c --!>d<!-- > e -->f<!-- never closed") == "abdf"
