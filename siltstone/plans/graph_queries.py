@@ -240,7 +240,7 @@ def g11_note_links(spark, sf_dir):
 
 def g12_ego(spark, sf_dir):
     views.register(spark, sf_dir)
-    links = spark.table("relations").where("relation <> 'SUPPLIES'").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    links = spark.table("relations").select(F.col("src").alias("source"), F.col("dst").alias("target"))
     centres = spark.sql("SELECT concat('region:', r_regionkey) AS centre, 'entity' AS layer, concat('region:', r_regionkey) AS node FROM region")
     return notes.ego({"entity": links}, centres, 2, 20).select("centre", "node", F.col("level").cast("long").alias("level"), F.col("rank").cast("long").alias("rank"))
 
@@ -248,7 +248,7 @@ def g12_ego(spark, sf_dir):
 def j13_bridges(spark, sf_dir):
     views.register(spark, sf_dir)
     topics = spark.sql("SELECT doc_id AS topic_id, source AS package, text FROM documents")
-    companions = spark.sql("SELECT DISTINCT a.source AS source_package, b.source AS target_package FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON b.source = 'src0' AND a.source = 'src1'")
+    companions = spark.sql("SELECT DISTINCT a.source AS source_package, b.source AS target_package FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON a.source <> b.source")
     return bridges.nearest(topics, companions, 3, 0.5).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -324,8 +324,8 @@ ORACLES = {
       SELECT DISTINCT 'a/n' || l.i || '.md' AS source, 'a/n' || d.i || '.md' AS target, CASE WHEN d.adr AND NOT l.adr THEN 'GOVERNED_BY' ELSE 'LINKS_TO' END AS kind FROM l JOIN d ON d.i = l.j""",
     "g12_ego": """WITH l AS (SELECT 'region:' || r_regionkey AS centre, 'region:' || r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey, 1 FROM nation UNION ALL SELECT 'region:' || n_regionkey, 'customer:' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey
       UNION ALL SELECT 'region:' || n_regionkey, 'supplier:' || s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY level, node) AS rank FROM l) SELECT centre, node, level, rank FROM r WHERE rank <= 20""",
-    "j13_bridges": rf"""WITH w AS (SELECT doc_id, source, trim(unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN_\s\-]', ' ', 'g'), '\s+')), '-') AS t, unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN_\s\-]', ' ', 'g'), '\s+')) AS raw FROM documents WHERE source IN ('src0', 'src1')),
+    "j13_bridges": rf"""WITH w AS (SELECT doc_id, source, trim(unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN_\s\-]', ' ', 'g'), '\s+')), '-') AS t, unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN_\s\-]', ' ', 'g'), '\s+')) AS raw FROM documents),
       c AS (SELECT doc_id, source, t, 1 + ln(count(*)) AS w FROM w WHERE length(raw) > 2 AND t NOT IN ({", ".join(f"'{x}'" for x in bridges.STOP_WORDS)}) GROUP BY ALL), v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, source)) AS x FROM c),
-      p AS (SELECT a.doc_id AS source_id, b.doc_id AS target_id, round(sum(a.x * b.x), 9) AS s FROM v a JOIN v b ON a.t = b.t AND a.source = 'src1' AND b.source = 'src0' GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.5),
+      p AS (SELECT a.doc_id AS source_id, b.doc_id AS target_id, round(sum(a.x * b.x), 9) AS s FROM v a JOIN v b ON a.t = b.t AND a.source <> b.source GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.5),
       r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_id) AS rank FROM p) SELECT source_id, target_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3""",
 }

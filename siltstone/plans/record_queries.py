@@ -282,7 +282,7 @@ def p10_json(spark, sf_dir):
 
 def l10_documents_by_date(spark, sf_dir):
     views.register(spark, sf_dir)
-    return spark.sql("SELECT id, created, CAST(row_number() OVER (ORDER BY created, id) AS BIGINT) AS place FROM graph_docs ORDER BY created, id LIMIT 500")
+    return spark.sql("SELECT id, created, CAST(row_number() OVER (ORDER BY created, id) AS BIGINT) AS place FROM (SELECT id, created FROM graph_docs ORDER BY created, id LIMIT 500)")
 
 
 QUERIES = {

@@ -33,7 +33,8 @@ SQL: dict[str, str] = {
     "j7_scalar_lookups": "SELECT n.topic_id, n.name, coalesce(k.children, 0) AS children, f.first_child FROM topic_nodes n LEFT JOIN (SELECT parent, count(*) AS children FROM topic_edges GROUP BY parent) k ON k.parent = n.topic_id LEFT JOIN (SELECT parent, min(child) AS first_child FROM topic_edges GROUP BY parent) f ON f.parent = n.topic_id WHERE n.depth <= 1",
     "j8_topics_with_records": "SELECT n.topic_id, n.name, coalesce(r.n, 0) AS n_records, coalesce(r.low, -1) AS low FROM topic_nodes n LEFT JOIN (SELECT topic_id, count(*) AS n, min(clearance) AS low FROM topic_records GROUP BY topic_id) r ON r.topic_id = n.topic_id",
     "j9_bridges_with_topics": "SELECT b.source_id, s.name AS source_name, b.target_id, t.name AS target_name, b.similarity FROM (SELECT concat('topic:c', c_custkey) AS source_id, concat('topic:n', c_nationkey) AS target_id, round(c_custkey % 100 / 1e2, 6) AS similarity FROM customer) b LEFT JOIN topic_nodes s ON s.topic_id = replace(b.source_id, 'topic:', '') LEFT JOIN topic_nodes t ON t.topic_id = replace(b.target_id, 'topic:', '') WHERE b.similarity >= 0.65",
-    "j11_orphans": "SELECT e.id, e.name FROM entities e LEFT JOIN (SELECT src AS id FROM relations WHERE relation = 'IN_REGION' UNION SELECT dst FROM relations WHERE relation = 'IN_REGION' UNION SELECT entity_id FROM doc_entities) k ON k.id = e.id WHERE k.id IS NULL",
+    # Documents from before 2001 are gone, with the supplies that only they hold; every other relation stays.
+    "j11_orphans": "WITH left_docs AS (SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= DATE '2001-01-01'), held AS (SELECT src, dst FROM relations WHERE relation <> 'SUPPLIES' UNION ALL SELECT concat('supplier:', l_suppkey), concat('part:', l_partkey) FROM lineitem JOIN left_docs ON left_docs.id = l_orderkey) SELECT e.id, e.name, e.kind FROM entities e LEFT JOIN (SELECT src AS id FROM held UNION SELECT dst FROM held UNION SELECT entity_id FROM doc_entities JOIN left_docs ON left_docs.id = doc_id) k ON k.id = e.id WHERE k.id IS NULL",
     "j15_alarm_topics": "SELECT a.id AS record_id, n.topic_id FROM (SELECT o_orderkey AS id, concat('ALM-', o_custkey, ' link down') AS title FROM orders) a JOIN topic_nodes n ON n.topic_id = concat('c', substring(split_part(a.title, ' ', 1), 5))",
     "j18_cooccurrence": "SELECT a.entity_id AS customer_id, b.entity_id AS part_id, count(*) AS n FROM doc_entities a JOIN doc_entities b ON a.doc_id = b.doc_id WHERE a.entity_id LIKE 'customer:%' AND b.entity_id LIKE 'part:%' GROUP BY a.entity_id, b.entity_id HAVING count(*) >= 2",
     "j19_two_hop_bridge": "SELECT DISTINCT a.src AS start_id, a.dst AS via_id, b.dst AS end_id FROM relations a JOIN relations b ON a.dst = b.src WHERE a.src LIKE 'customer:%' AND b.relation = 'IN_REGION'",
