@@ -43,7 +43,8 @@ def match(posted: DataFrame, clauses: DataFrame) -> DataFrame:
     needs = clauses.groupBy("question", "branch").agg(F.countDistinct("phrase").alias("__phrases"))
     # Equal phrases of different questions are looked up once.
     phrases = asked.select("terms", "__size").distinct()
-    hits = phrases.select("terms", "__size", F.posexplode("terms").alias("__offset", "term")).join(posted.select("term", "id", "place").distinct(), "term")
+    places_of = phrases.select("terms", "__size", F.posexplode("terms").alias("__offset", "term"))
+    hits = places_of.join(posted.select("term", "id", "place").join(places_of.select("term").distinct(), "term", "left_semi"), "term")
     whole = hits.groupBy("terms", "__size", "id", (F.col("place") - F.col("__offset")).alias("__start")).agg(F.countDistinct("__offset").alias("__n")).where("__n = __size").select("terms", "id").distinct()
     per_branch = asked.select("question", "branch", "phrase", "terms").join(whole, "terms").groupBy("question", "branch", "id").agg(F.countDistinct("phrase").alias("__n"))
     return per_branch.join(needs, ["question", "branch"]).where("__n = __phrases").select("question", "branch", "id")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import workspace
+from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.postings import Index
 from . import views
 
 
@@ -35,14 +38,34 @@ def hybrid_rrf(spark, sf_dir, k=10):
     return R.fuse(_dense(spark, 2 * k), R.bm25(records, questions, 2 * k, clearance=2), k)
 
 
-QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf}
+def l3_indexed_search(spark, sf_dir):
+    """The rows of bm25_top_k from a written index."""
+    records, questions = _inputs(spark, sf_dir)
+    index = Index.build(records, workspace.fresh(spark, "index"))
+    found = G.cut(index.search(questions, clearance=2))
+    workspace.drop(spark, index.where)
+    return found
+
+
+def d22_index_update(spark, sf_dir):
+    """An index of records of which one package came shortened; then that package comes whole, and another is taken out."""
+    records, questions = _inputs(spark, sf_dir)
+    short = F.when(F.col("package") == "src3", F.substring("content", 1, 200)).otherwise(F.col("content"))
+    index = Index.build(records.withColumn("content", short), workspace.fresh(spark, "index"), rows=512)
+    index.update(records.where("package = 'src3'"), records.where("package = 'src4'").select("id"))
+    found = G.cut(index.search(questions, clearance=2))
+    workspace.drop(spark, index.where)
+    return found
+
+
+QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf, "l3_indexed_search": l3_indexed_search, "d22_index_update": d22_index_update}
 
 _TERMS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _sparse(k):
+def _sparse(k, only="TRUE"):
     return f"""
-seen AS (SELECT id, {_TERMS.format("content")} AS body, {_TERMS.format("title")} AS head FROM records WHERE clearance <= 2),
+seen AS (SELECT id, {_TERMS.format("content")} AS body, {_TERMS.format("title")} AS head FROM records WHERE clearance <= 2 AND {only}),
 size AS (SELECT count(*) AS n, avg(len(body)) AS mean FROM seen),
 post AS (SELECT id, term, any_value(length) AS length, CAST(sum(w) AS BIGINT) AS tf FROM (
   SELECT id, unnest(body) AS term, len(body) AS length, 1 AS w FROM seen UNION ALL SELECT id, unnest(head), len(body), {R.TITLE_WEIGHT} FROM seen) GROUP BY id, term),
@@ -65,6 +88,8 @@ _FUSED = f"""SELECT question, id, score, rank FROM (SELECT *, row_number() OVER
   FROM dense d FULL OUTER JOIN sparse s USING (question, id))) WHERE rank <= 10"""
 ORACLES = {
     "bm25_top_k": views.with_views(f"WITH {_sparse(10)} SELECT question, id, score, rank FROM sparse"),
+    "l3_indexed_search": views.with_views(f"WITH {_sparse(10)} SELECT question, id, score, rank FROM sparse"),
+    "d22_index_update": views.with_views(f"WITH {_sparse(10, "package IS DISTINCT FROM 'src4'")} SELECT question, id, score, rank FROM sparse"),
     "cosine_top_k": views.with_views(f"WITH {_dense_sql(10)} SELECT question, id, score, rank FROM dense"),
     "hybrid_rrf": views.with_views(f"WITH {_sparse(20)}, {_dense_sql(20)} {_FUSED}"),
 }
