@@ -143,7 +143,7 @@ class Index:
         weighed = asked.join(self.frequencies(asked, clearance), "term").select("question", "term", idf.alias("idf"), R._home("question", blocks).alias("at"))
         wanted = weighed.select("term", "at").distinct()
         hits = self.table("postings").where(F.col("clearance") <= clearance).join(wanted, "term")
-        every = F.explode(F.sequence(F.lit(low), F.lit(high))) if high >= low else F.lit(None).cast("long")
+        every = F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))) if high >= low else F.lit(None).cast("long")  # the type of bucket, as equal keys of two types are dealt apart
         spread = weighed.select("question", F.col("term").alias("asked_term"), "idf", F.col("at").alias("at_block"), every.alias("at_bucket"))
         return hits.groupBy("bucket", "at").cogroup(spread.groupBy("at_bucket", "at_block")).applyInArrow(_best(k, mean, self.rows), FOUND)
 

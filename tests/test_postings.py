@@ -49,6 +49,16 @@ def test_search_equals_bm25(spark, tmp_path, clearance):
     assert index.search(asked, 3, -1).count() == 0
 
 
+def test_buckets_meet_their_questions_in_any_partition(spark, tmp_path):
+    records = spark.createDataFrame(corpus(300), SCHEMA)
+    index = Index.build(records, f"file://{tmp_path}/i", rows=20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(index.search(questions(spark))) == rows(R.bm25(records, questions(spark)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_ties_and_repeated_texts(spark, tmp_path):
     records = spark.createDataFrame([(i, 0, "same title", "same words here") for i in range(300)], SCHEMA)
     index = Index.build(records, f"file://{tmp_path}/i", rows=64)
