@@ -69,13 +69,16 @@ def _read(stream, size: int) -> bytes:
     return body
 
 
-def _zip(body: bytes, prefix: str, depth: int, budget: _Budget) -> Iterator[Member]:
-    with zipfile.ZipFile(io.BytesIO(body)) as archive:
-        for info in archive.infolist():
+def _zip(source, prefix: str, depth: int, budget: _Budget, wanted=lambda number, name: True) -> Iterator[Member]:
+    """Members of a zip, bytes or an open file. Those that are not wanted count for the guards but are not read."""
+    with zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source) as archive:
+        for number, info in enumerate(archive.infolist()):
             name = prefix + info.filename
             if info.is_dir() or posixpath.basename(info.filename).lower() in SKIPPED_NAMES or "__macosx" in info.filename.lower():
                 continue
             why = "path" if unsafe(info.filename) else budget.refuses(info.file_size, info.compress_size)
+            if not wanted(number, name):
+                continue
             if why:
                 yield name, info.file_size, None, why
                 continue
@@ -90,8 +93,8 @@ def _zip(body: bytes, prefix: str, depth: int, budget: _Budget) -> Iterator[Memb
                 yield name, info.file_size, None, type(error).__name__
 
 
-def _tar(body: bytes, budget: _Budget, packed_by_zstd: bool = False) -> Iterator[Member]:
-    source = io.BytesIO(body)
+def _tar(source, size: int, budget: _Budget, packed_by_zstd: bool = False) -> Iterator[Member]:
+    """Members of a tar of so many bytes, read as a stream."""
     if packed_by_zstd:
         import zstandard
 
@@ -101,16 +104,16 @@ def _tar(body: bytes, budget: _Budget, packed_by_zstd: bool = False) -> Iterator
             if not info.isfile():
                 continue
             # A compressed tar has no packed size for each member; the whole archive's stands in.
-            why = "path" if unsafe(info.name) else budget.refuses(info.size, len(body))
+            why = "path" if unsafe(info.name) else budget.refuses(info.size, size)
             yield info.name, info.size, None if why else _read(archive.extractfile(info), info.size), why
 
 
 def open_archive(path: str, body: bytes) -> Iterator[Member]:
     low, budget = path.lower(), _Budget(MAX_TOTAL_BYTES)
     if low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
-        yield from _tar(body, budget)
+        yield from _tar(io.BytesIO(body), len(body), budget)
     elif low.endswith((".tar.zst", ".tzst")):
-        yield from _tar(body, budget, packed_by_zstd=True)
+        yield from _tar(io.BytesIO(body), len(body), budget, packed_by_zstd=True)
     elif zipfile.is_zipfile(io.BytesIO(body)):
         yield from _zip(body, "", 1, budget)
     else:
