@@ -8,6 +8,7 @@ from .. import workspace
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators.postings import Index
+from ..operators.vectorindex import VectorIndex
 from . import views
 
 
@@ -58,7 +59,17 @@ def d22_index_update(spark, sf_dir):
     return found
 
 
-QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf, "l3_indexed_search": l3_indexed_search, "d22_index_update": d22_index_update}
+def l2_indexed_vectors(spark, sf_dir):
+    """The rows of cosine_top_k from a written index of cells, by the exact way."""
+    _inputs(spark, sf_dir)
+    vectors = spark.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(vectors, workspace.fresh(spark, "vectors"))
+    found = G.cut(index.search(vectors.where("id % 20 = 0").select(F.col("id").alias("question"), F.col("v").alias("q")), exact=True))
+    workspace.drop(spark, index.where)
+    return found
+
+
+QUERIES = {"bm25_top_k": bm25_top_k, "cosine_top_k": cosine_top_k, "hybrid_rrf": hybrid_rrf, "l3_indexed_search": l3_indexed_search, "d22_index_update": d22_index_update, "l2_indexed_vectors": l2_indexed_vectors}
 
 _TERMS = r"list_filter(string_split_regex(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -91,5 +102,6 @@ ORACLES = {
     "l3_indexed_search": views.with_views(f"WITH {_sparse(10)} SELECT question, id, score, rank FROM sparse"),
     "d22_index_update": views.with_views(f"WITH {_sparse(10, "package IS DISTINCT FROM 'src4'")} SELECT question, id, score, rank FROM sparse"),
     "cosine_top_k": views.with_views(f"WITH {_dense_sql(10)} SELECT question, id, score, rank FROM dense"),
+    "l2_indexed_vectors": views.with_views(f"WITH {_dense_sql(10)} SELECT question, id, score, rank FROM dense"),
     "hybrid_rrf": views.with_views(f"WITH {_sparse(20)}, {_dense_sql(20)} {_FUSED}"),
 }
