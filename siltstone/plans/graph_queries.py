@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bridges, graphstore, layout, lifecycle, notes, tree
+from ..operators import bridges, graphstore, layout, lifecycle, notes, tree, versions
 from . import views
 
 LEVEL = 2
@@ -252,9 +252,27 @@ def j13_bridges(spark, sf_dir):
     return bridges.nearest(topics, companions, 3, 0.5).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def g12_fingerprints(spark, sf_dir):
+    views.register(spark, sf_dir)
+    out = None
+    for name, columns in PRINTED.items():
+        part = versions.fingerprint(spark.table(name).select(*columns), columns[0], 16).select(F.lit(name).alias("layer"), "bucket", "rows", F.col("print").cast("string").alias("print"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def g12_slice(spark, sf_dir):
+    nodes, edges, records = _topics(spark, sf_dir)
+    return versions.tree_slice(nodes, edges, records, 2, 2, budget=500).select("topic_id", F.col("level").cast("long").alias("level"))
+
+
+#: Tables of the graph with the columns that their fingerprints cover; the first is the key.
+PRINTED = {"records": ("id", "clearance", "content", "domain", "package", "title"), "entities": ("id", "kind", "name"), "relations": ("src", "dst", "relation"), "topic_nodes": ("topic_id", "depth", "name"), "topic_edges": ("child", "is_primary", "parent")}
+
 QUERIES = {
     f.__name__: f
     for f in (
+        g12_fingerprints, g12_slice,
         g1_find_entities, g2_neighbourhoods, g2_neighbourhood_edges, g2_neighbourhood_documents, g3_paths, g4_relations, g5_dossiers, g6_graph_statistics, g7_enriched, g17_ordered_paths, d4_index_again, d7_delete_cascade,
         d8_orphan_sweep, d8_purge_identifiers, d16_merge, p17_tree_visible, a12_tree_clearances, a5_themes, a11_tree_descendants, j10_tree_paths, g9_tree_nodes, g9_tree_edges, g13_tree_expand, g15_hierarchy, g15_children,
         g15_catalog, g12_find_topics, g12_meta, f35_layout, d12_path_tree, d13_assign, d9_purge, g11_note_links, g12_ego, j13_bridges,
@@ -262,6 +280,17 @@ QUERIES = {
 }
 
 _V = views.with_views
+
+
+def _prints(name):
+    columns = PRINTED[name]
+    cell = lambda c: f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    number = lambda text: f"CAST('0x' || md5({text})[1:15] AS BIGINT)"
+    text = " || ".join(cell(c) for c in sorted(columns))
+    key = "coalesce(CAST({} AS VARCHAR), '')".format(columns[0])
+    return f"SELECT '{name}' AS layer, CAST({number(key)} % 16 AS INTEGER) AS bucket, count(*) AS rows, CAST(sum({number(text)}) AS VARCHAR) AS print FROM {name} GROUP BY ALL"
+
+
 _NEAR = f"""e AS (SELECT * FROM entities WHERE clearance <= {LEVEL}), x AS (SELECT DISTINCT r.src, r.dst, r.relation FROM relations r JOIN e a ON a.id = r.src JOIN e b ON b.id = r.dst WHERE r.clearance <= {LEVEL}),
   l0 AS (SELECT id AS n FROM e WHERE kind = 'region'), l1 AS (SELECT DISTINCT src AS n FROM x JOIN l0 ON dst = n), l2 AS (SELECT DISTINCT src AS n FROM x JOIN l1 ON dst = n WHERE src NOT IN (SELECT n FROM l0)),
   near AS (SELECT n, 0 AS level FROM l0 UNION ALL SELECT n, 1 FROM l1 UNION ALL SELECT n, 2 FROM l2)"""
@@ -299,6 +328,8 @@ ORACLES = {
     "d8_purge_identifiers": "SELECT o_orderkey AS doc_id, 'INC-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS identifier FROM orders WHERE o_orderkey >= 100",
     "d16_merge": _V("""SELECT 'document' AS what, CAST(id AS VARCHAR) AS key, CASE WHEN id % 4 = 0 THEN 'new' ELSE corpus END AS value FROM graph_docs UNION ALL SELECT 'entity', id, kind || '/' || greatest(clearance, 3 - clearance) FROM entities
       UNION ALL SELECT 'posting', entity_id, CAST(CAST(sum(CASE WHEN doc_id % 2 = 0 THEN n + 1 ELSE n END) AS BIGINT) AS VARCHAR) FROM doc_entities GROUP BY entity_id UNION ALL SELECT 'relation', relation, CAST(count(*) AS VARCHAR) FROM relations GROUP BY relation"""),
+    "g12_fingerprints": _V(" UNION ALL ".join(map(_prints, PRINTED))),
+    "g12_slice": f"WITH {_TREE}, v AS (SELECT a.topic_id FROM lev a LEFT JOIN lev b ON b.topic_id = a.up LEFT JOIN lev c ON c.topic_id = b.up WHERE a.clearance <= 2 AND coalesce(b.clearance, 0) <= 2 AND coalesce(c.clearance, 0) <= 2), r AS (SELECT topic_id, CASE topic_id[1] WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS level FROM v) SELECT topic_id, CAST(level AS BIGINT) AS level FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY topic_id) AS place FROM r) WHERE place <= 500",
     "p17_tree_visible": f"WITH {_TREE} SELECT a.topic_id FROM lev a LEFT JOIN lev b ON b.topic_id = a.up LEFT JOIN lev c ON c.topic_id = b.up WHERE a.clearance <= 1 AND coalesce(b.clearance, 0) <= 1 AND coalesce(c.clearance, 0) <= 1",
     "a12_tree_clearances": f"WITH {_TREE} SELECT topic_id, CAST(clearance AS INTEGER) AS clearance FROM lev",
     "a5_themes": _V(f"WITH {_THEME} SELECT n.topic_id, coalesce(theme, '') AS theme FROM topic_nodes n LEFT JOIN top ON top.topic_id = n.topic_id"),
