@@ -1,7 +1,7 @@
 """File events and documents as streams: index tables that follow a folder, actions that fire once, and the global quiet gap.
 
-Sinks write Parquet generations: a batch writes a new table beside the last and then moves a pointer, so a batch that is done again after a failure
-leaves the same result.
+Sinks are keyed tables: a batch writes its own changes and no more, so its cost follows the batch, and a batch that is done again after a failure leaves
+the same result.
 """
 
 from __future__ import annotations
@@ -14,44 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import lifecycle
 from . import debounce
-
-
-class Table:
-    """A table of generations in a shared folder: ``current`` reads the newest whole one, ``replace`` writes the next."""
-
-    def __init__(self, spark: SparkSession, where: str, schema: str):
-        self.spark, self.where, self.schema = spark, where.rstrip("/"), schema
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._hadoop.Path(f"{self.where}/{name}" if name else self.where)
-
-    def generations(self) -> list[int]:
-        """Numbers of generations whose write was finished."""
-        if not self._fs.exists(self._path("")):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))]
-        return sorted(int(n[2:]) for n in names if n.startswith("g-") and self._fs.exists(self._path(f"{n}/_SUCCESS")))
-
-    def current(self, before: int | None = None) -> DataFrame:
-        found = [g for g in self.generations() if before is None or g < before]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.where}/g-{found[-1]}")
-
-    def replace(self, rows: DataFrame, generation: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.where}/g-{generation}")
-        for old in [g for g in self.generations() if g < generation - 1]:
-            self._fs.delete(self._path(f"g-{old}"), True)
+from .keyed import KeyedTable
 
 
 INDEX = "path string, sha256 string, content binary"
 
 
-def follow(events: DataFrame, table: Table, read: Callable[[DataFrame], DataFrame], checkpoint: str):
+def follow(events: DataFrame, table: KeyedTable, read: Callable[[DataFrame], DataFrame], checkpoint: str):
     """A stream of file events (path, event_type, ts, seq) applied to an index: of each batch, deleted paths go and the others are read anew.
 
     ``read`` gives (path, content) of paths; a path that it does not give is gone. Within a batch the last event of a path counts, and a deletion
@@ -62,7 +34,7 @@ def follow(events: DataFrame, table: Table, read: Callable[[DataFrame], DataFram
         outcome = debounce.outcomes(batch.where(T.watched(F.col("path"), (".md", ".txt", ".csv", ".json", ".html", ".xml")))).select("path", "outcome")
         changed = outcome.where("outcome <> 'delete'").select("path")
         fresh = read(changed).select("path", F.sha2("content", 256).alias("sha256"), "content")
-        table.replace(table.current(before=number).join(outcome.select("path"), "path", "left_anti").unionByName(fresh), number)
+        table.put(number, fresh, outcome.select("path"))
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
@@ -70,13 +42,13 @@ def follow(events: DataFrame, table: Table, read: Callable[[DataFrame], DataFram
 ACTIONS = "doc_id long, action_type string, severity string, message string, amount double, due_date date, key string"
 
 
-def dispatch(docs: DataFrame, today, table: Table, checkpoint: str):
+def dispatch(docs: DataFrame, today, table: KeyedTable, checkpoint: str):
     """A stream of documents (doc_id, title, content) whose actions are written to a table, each key once for all time."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        done = table.current(before=number)
-        fresh = lifecycle.pending_actions(batch, today, done.select("key"))
-        table.replace(done.unionByName(fresh.select(*done.columns)), number)
+        found = G.cut(lifecycle.pending_actions(batch, today, table.nothing().select("key")))
+        done = table.current(before=number, only=found.select("key"))
+        table.put(number, found.join(done.select("key"), "key", "left_anti"))
 
     return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

@@ -240,14 +240,14 @@ def test_streams(spark, tmp_path):
     got = {(r.path, r.outcome, r.n_events) for r in spark.table("bursts").collect()}
     assert {("a.md", "delete", 2), ("b.md", "modify", 1), ("a.md", "modify", 1), ("c.exe", "create", 1)} <= got
     bodies = spark.createDataFrame([("a.md", b"A"), ("b.md", b"B"), ("z.md", b"Z")], "path string, content binary")
-    table = watch.Table(spark, f"{tmp_path}/index", watch.INDEX)
+    table = watch.KeyedTable(spark, f"{tmp_path}/index", watch.INDEX, "path")
     run(watch.follow(events(), table, lambda paths: bodies.join(paths, "path", "left_semi"), f"{tmp_path}/c1"))
-    assert {r.path for r in table.current().collect()} == {"a.md", "b.md", "z.md"} and len(table.generations()) == 2
+    assert {r.path for r in table.current().collect()} == {"a.md", "b.md", "z.md"} and table.numbers("batch") == [0, 1, 2]
     bill = [(1, "t", "vencimento 15/03/2024 R$ 2.000,00"), (2, "t", "nothing")]
     for k in (0, 1):
         (tmp_path / "hook").mkdir(exist_ok=True)
         (tmp_path / f"hook/{k}.json").write_text("\n".join(f'{{"doc_id": {i}, "title": "{t}", "content": "{c}"}}' for i, t, c in bill))
-    actions = watch.Table(spark, f"{tmp_path}/actions", watch.ACTIONS)
+    actions = watch.KeyedTable(spark, f"{tmp_path}/actions", watch.ACTIONS, "key")
     run(watch.dispatch(watch.webhook(spark, f"{tmp_path}/hook"), F.lit("2024-03-14").cast("date"), actions, f"{tmp_path}/c2"))
     assert sorted(r.action_type for r in actions.current().collect()) == ["BILL_DUE_SOON", "HIGH_VALUE_PAYMENT"]
     assert {(r.path, r.state) for r in watch.changes(spark.createDataFrame([("a", "x"), ("q", "y")], "path string, sha256 string"), bodies.withColumn("path", F.substring("path", 1, 1))).collect()} == {("a", "modified"), ("q", "deleted"), ("b", "added"), ("z", "added")}
