@@ -29,19 +29,17 @@ from . import retrieval as R
 BLOCK, ROWS = 128, 8192
 #: Scores are rounded to six digits; bounds keep more than that as slack.
 SLACK = 1e-5
-TABLES = ("postings", "stats", "sizes")
+TABLES = ("postings", "stats")
+#: A term that every record has once: its postings are the records of a bucket with their lengths. Real terms are not empty.
+EVERY = ""
 FOUND = "question long, id long, score double, read long, held long"
 
 
 def _entries(records: DataFrame) -> DataFrame:
-    """(id, clearance, length, term, tf) of each record and term; title words weigh R.TITLE_WEIGHT."""
+    """(bucket, id, clearance, length, term, tf) of each record and term; title words weigh R.TITLE_WEIGHT. Grouped within the bucket, so that rows dealt by it are not dealt again."""
     body, head = R.terms(F.col("content")), R.terms(F.col("title"))
-    rows = records.select("id", "clearance", F.size(body).alias("length"), F.concat(body, F.flatten(F.array_repeat(head, R.TITLE_WEIGHT))).alias("words"))
-    return rows.select("id", "clearance", "length", F.explode("words").alias("term")).groupBy("id", "clearance", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-
-
-def _sizes(records: DataFrame) -> DataFrame:
-    return records.select("id", "clearance", F.size(R.terms(F.col("content"))).alias("length"))
+    rows = records.select("bucket", "id", "clearance", F.size(body).alias("length"), F.concat(F.array(F.lit(EVERY)), body, F.flatten(F.array_repeat(head, R.TITLE_WEIGHT))).alias("words"))
+    return rows.select("bucket", "id", "clearance", "length", F.explode("words").alias("term")).groupBy("bucket", "id", "clearance", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def _sound(records: DataFrame) -> DataFrame:
@@ -54,13 +52,13 @@ def _blocks(entries: DataFrame) -> DataFrame:
     """Postings of each bucket, term and clearance, cut into blocks. A group is no larger than a bucket."""
     lists = entries.groupBy("bucket", "term", "clearance").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("all"))
     starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    cut = lists.select("bucket", "term", "clearance", F.posexplode(F.transform(starts, lambda at: F.slice("all", at, BLOCK))).alias("block", "own"))
-    return cut.select("term", "clearance", "block", F.col("own.id").alias("ids"), F.col("own.tf").alias("tfs"), F.col("own.length").alias("lengths"), F.array_max("own.tf").alias("max_tf"), F.array_min("own.length").alias("min_length"), "bucket")
+    cut = lists.select("bucket", "term", "clearance", F.size("all").cast("long").alias("df"), F.posexplode(F.transform(starts, lambda at: F.slice("all", at, BLOCK))).alias("block", "own"))
+    return cut.select("term", "clearance", "block", F.col("own.id").alias("ids"), F.col("own.tf").alias("tfs"), F.col("own.length").alias("lengths"), F.array_max("own.tf").alias("max_tf"), F.array_min("own.length").alias("min_length"), "df", "bucket")
 
 
 @dataclass
 class Index:
-    """A folder with the tables postings, stats and sizes, each partitioned by bucket."""
+    """A folder with the tables postings and stats, both partitioned by bucket."""
 
     spark: SparkSession
     where: str
@@ -68,33 +66,34 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         schemas = {
-            "postings": "term string, clearance int, block int, ids array<long>, tfs array<int>, lengths array<int>, max_tf int, min_length int, bucket long",
+            "postings": "term string, clearance int, block int, ids array<long>, tfs array<int>, lengths array<int>, max_tf int, min_length int, df long, bucket long",
             "stats": "term string, clearance int, n long, length long, bucket long",
-            "sizes": "id long, clearance int, length int, bucket long",
         }
         return self.spark.read.schema(schemas[name]).parquet(f"{self.where}/{name}")
 
     def bucket(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("bucket", F.floor(F.col("id") / F.lit(self.rows)))
 
-    def _write(self, postings: DataFrame, sizes: DataFrame, scratch: workspace.Scratch) -> None:
-        """Replaces the buckets that the frames hold. The frames are written aside first, as they may read what they replace."""
-        held = scratch.put("held", postings)
-        sized = scratch.put("sized", sizes)
-        terms = held.groupBy("term", "clearance", "bucket").agg(F.sum(F.size("ids")).cast("long").alias("n"), F.lit(0).cast("long").alias("length"))
-        totals = sized.groupBy("clearance", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("length").cast("long").alias("length")).withColumn("term", F.lit(None).cast("string"))
-        stats = terms.unionByName(totals).select("term", "clearance", "n", "length", "bucket")
-        for name, frame, order in (("postings", held, ("bucket", "term", "clearance", "block")), ("stats", stats, ("bucket", "term")), ("sizes", sized.select("id", "clearance", "length", "bucket"), ("bucket", "id"))):
-            dealt = frame.repartition("bucket").sortWithinPartitions(*order)
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/{name}")
+    def _put(self, name: str, frame: DataFrame, *order: str) -> None:
+        """Replaces the buckets that the frame holds."""
+        frame.sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/{name}")
+
+    def _write(self, postings: DataFrame, touched: DataFrame | None) -> None:
+        """Replaces the postings of the buckets that the frame, dealt by bucket, holds, and the statistics of those touched. A term's first block tells its frequency."""
+        self._put("postings", postings, "term", "clearance", "block")
+        if not workspace.exists(self.spark, f"{self.where}/postings"):
+            return
+        held = self.table("postings") if touched is None else self.table("postings").join(touched, "bucket", "left_semi")
+        terms = held.where((F.col("block") == 0) & (F.col("term") != EVERY)).select("term", "clearance", F.col("df").alias("n"), F.lit(0).cast("long").alias("length"), "bucket")
+        total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+        totals = held.where(F.col("term") == EVERY).groupBy("clearance", "bucket").agg(F.sum(F.size("ids")).cast("long").alias("n"), F.sum(total).alias("length")).select(F.lit(None).cast("string").alias("term"), "clearance", "n", "length", "bucket")
+        self._put("stats", terms.unionByName(totals).repartition("bucket"), "term")
 
     @classmethod
     def build(cls, records: DataFrame, where: str, rows: int = ROWS) -> Index:
         """The index of records (id, clearance, title, content) in a new folder. Rows that share an id are one record's only if they are equal in length."""
         index = cls(records.sparkSession, where, rows)
-        sound = _sound(records)
-        with workspace.Scratch(index.spark, "index-build") as scratch:
-            index._write(_blocks(index.bucket(_entries(sound))), index.bucket(_sizes(sound)), scratch)
+        index._write(_blocks(_entries(index.bucket(_sound(records)).repartition("bucket"))), None)
         for name in TABLES:  # an index of nothing has its folders too
             if not workspace.exists(index.spark, f"{where}/{name}"):
                 index.table_of_nothing(name)
@@ -113,15 +112,14 @@ class Index:
         with workspace.Scratch(self.spark, "index-update") as scratch:
             ids = scratch.put("ids", self.bucket(new.select("id").unionByName(gone).distinct()))
             touched = scratch.put("touched", ids.select("bucket").distinct())
-            kept = self.table("postings").join(F.broadcast(touched) if touched.count() <= 100_000 else touched, "bucket", "left_semi")
-            old = kept.select("bucket", "term", "clearance", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).select("bucket", "term", "clearance", F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("lengths").alias("length")).join(ids.select("id"), "id", "left_anti")
-            sizes = self.table("sizes").join(touched, "bucket", "left_semi").join(ids.select("id"), "id", "left_anti")
-            shape = ("bucket", "id", "clearance", "length", "term", "tf")
-            after = scratch.put("after", sizes.unionByName(self.bucket(_sizes(new))))
-            self._write(_blocks(old.select(*shape).unionByName(self.bucket(_entries(new)).select(*shape))), after, scratch)
-            # What is empty now has no rows to replace its files with.
-            for name, left in (("sizes", after), ("stats", after), ("postings", self.spark.read.parquet(f"{scratch.root}/held"))):
-                for r in touched.join(left.select("bucket").distinct(), "bucket", "left_anti").toLocalIterator():
+            kept = self.table("postings").join(touched, "bucket", "left_semi")
+            old = kept.select("bucket", "term", "clearance", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).select("bucket", F.col("ids").alias("id"), "clearance", F.col("lengths").alias("length"), "term", F.col("tfs").alias("tf")).join(ids.select("id"), "id", "left_anti")
+            after = old.unionByName(_entries(self.bucket(new))).repartition("bucket")
+            held = scratch.put("held", _blocks(after))  # written aside first, as it reads what it replaces
+            self._write(held.repartition("bucket"), touched)
+            # A bucket that is empty now has no rows to replace its files with.
+            for r in touched.join(held.select("bucket").distinct(), "bucket", "left_anti").toLocalIterator():
+                for name in TABLES:
                     workspace.drop(self.spark, f"{self.where}/{name}/bucket={r.bucket}")
 
     def frequencies(self, terms: DataFrame, clearance: int) -> DataFrame:

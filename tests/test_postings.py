@@ -85,7 +85,7 @@ def test_update_equals_rebuild_and_touches_few_files(spark, tmp_path):
 def test_a_bucket_that_is_emptied_is_gone(spark, tmp_path):
     index = Index.build(spark.createDataFrame(corpus(100), SCHEMA), f"file://{tmp_path}/i", rows=10)
     index.update(spark.createDataFrame([(500, 0, "w1", "far away")], SCHEMA), spark.createDataFrame([(i,) for i in range(20, 40)], "id long"))
-    left = {r.bucket for r in index.table("sizes").select("bucket").distinct().collect()}
+    left = {r.bucket for r in index.table("postings").select("bucket").distinct().collect()}
     assert left == {0, 1, 4, 5, 6, 7, 8, 9, 50} == {r.bucket for r in index.table("stats").select("bucket").distinct().collect()}
     after = spark.createDataFrame([*(r for r in corpus(100) if not 20 <= r[0] < 40), (500, 0, "w1", "far away")], SCHEMA)
     assert rows(index.search(questions(spark))) == rows(R.bm25(after, questions(spark)))
