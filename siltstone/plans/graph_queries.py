@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bridges, graphstore, layout, lifecycle, notes, tree, versions
+from ..operators import bridges, graphstore, layout, lifecycle, notes, structure, topology, tree, versions
+from .. import workspace
+from ..operators import graph as G
 from . import views
 
 LEVEL = 2
@@ -252,6 +254,65 @@ def j13_bridges(spark, sf_dir):
     return bridges.nearest(topics, companions, 3, 0.5).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def _sources(spark):
+    return spark.sql("SELECT DISTINCT a.source AS source_package, b.source AS target_package FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON a.source <> b.source")
+
+
+def g16_refreshed_bridges(spark, sf_dir):
+    """Bridges and terms of an earlier state, in which of ten documents one had another text, one was not there and one was of another source, brought up to date."""
+    views.register(spark, sf_dir)
+    now = spark.sql("SELECT doc_id AS topic_id, source AS package, text FROM documents")
+    before = spark.sql("""SELECT doc_id AS topic_id, CASE WHEN doc_id % 10 = 5 THEN concat('src', doc_id % 3) ELSE source END AS package, CASE WHEN doc_id % 10 = 3 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7
+      UNION ALL SELECT -1 - doc_id, source, text FROM documents WHERE doc_id % 10 = 1""")
+    companions = _sources(spark)
+    with workspace.Scratch(spark, "bridges") as scratch:
+        held = scratch.put("terms", bridges.stored_terms(before))
+        stored = scratch.put("bridges", bridges.nearest(before, companions, 3, 0.5))
+        found = G.cut(bridges.refresh(stored, held, now, companions, 3, 0.5))
+    return found.select("source_id", "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+def g16_realtime_bridges(spark, sf_dir):
+    """The benchmark's passages, which no index holds, with their nearest documents of each source."""
+    views.register(spark, sf_dir)
+    held = bridges.stored_terms(spark.sql("SELECT doc_id AS topic_id, source AS package, text FROM documents"))
+    asked = spark.sql("SELECT item_id AS topic_id, 'benchmark' AS package, concat(text, ' unheard') AS text FROM benchmark")
+    companions = spark.sql("SELECT DISTINCT 'benchmark' AS source_package, source AS target_package FROM documents")
+    # Numbers of passages and documents overlap; passages are told apart by sign.
+    asked = asked.withColumn("topic_id", -1 - F.col("topic_id"))
+    found = bridges.realtime(asked, held, companions, 5, 0.3)
+    return found.select((-1 - F.col("source_id")).alias("item_id"), "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+def _topology(spark, sf_dir):
+    return topology.topology(_graph(spark, sf_dir), ("supplier", "part", "nation"), LEVEL, cap=60, core=4)
+
+
+def g8_topology_nodes(spark, sf_dir):
+    return _topology(spark, sf_dir)[0]
+
+
+def g8_topology_edges(spark, sf_dir):
+    return _topology(spark, sf_dir)[1]
+
+
+def _structure(spark, sf_dir):
+    """Three sources: src0 with a table of contents that lists half of its pages, all other documents in folders of their source, and src1 once more, which comes too late to claim any."""
+    views.register(spark, sf_dir)
+    records = spark.sql("SELECT doc_id AS id, concat('/', source, '/', lang, '/P', doc_id, '.html', CASE WHEN doc_id % 3 = 0 THEN '#part' ELSE '' END) AS uri FROM documents")
+    listed = spark.sql("""SELECT concat('p', doc_id, '.html') AS page, concat('d', doc_id) AS topic, lang AS parent, concat('Page ', doc_id) AS name, doc_id AS place FROM documents WHERE source = 'src0' AND doc_id % 40 = 0
+      UNION ALL SELECT DISTINCT NULL, lang, NULL, upper(lang), -1 FROM documents WHERE source = 'src0'""")
+    return structure.apply(records, [structure.Source("guide", "/src0/", listed), structure.Source("files", "/"), structure.Source("late", "/src1/")])
+
+
+def x2_structure_records(spark, sf_dir):
+    return _structure(spark, sf_dir).records.select("id", "label", "topic_id", "record_kind", "review")
+
+
+def x2_structure_nodes(spark, sf_dir):
+    return _structure(spark, sf_dir).nodes.select("topic_id", "package", "name", F.col("depth").cast("long").alias("depth"))
+
+
 def g12_fingerprints(spark, sf_dir):
     views.register(spark, sf_dir)
     out = None
@@ -276,12 +337,25 @@ QUERIES = {
         g1_find_entities, g2_neighbourhoods, g2_neighbourhood_edges, g2_neighbourhood_documents, g3_paths, g4_relations, g5_dossiers, g6_graph_statistics, g7_enriched, g17_ordered_paths, d4_index_again, d7_delete_cascade,
         d8_orphan_sweep, d8_purge_identifiers, d16_merge, p17_tree_visible, a12_tree_clearances, a5_themes, a11_tree_descendants, j10_tree_paths, g9_tree_nodes, g9_tree_edges, g13_tree_expand, g15_hierarchy, g15_children,
         g15_catalog, g12_find_topics, g12_meta, f35_layout, d12_path_tree, d13_assign, d9_purge, g11_note_links, g12_ego, j13_bridges,
+        g16_refreshed_bridges, g16_realtime_bridges, g8_topology_nodes, g8_topology_edges, x2_structure_records, x2_structure_nodes,
     )
 }
 
 _V = views.with_views
 
 
+def _peeled(body, rounds=12):
+    """Peeling to four neighbours written out round by round, and a last row that the join below finds only when no node falls any more."""
+    parts = ["""seen AS (SELECT id FROM entities WHERE clearance <= 2 AND kind IN ('supplier', 'part', 'nation')),
+      every AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM relations WHERE clearance <= 2 AND src <> dst AND src IN (SELECT id FROM seen) AND dst IN (SELECT id FROM seen)),
+      hubs AS (SELECT n FROM (SELECT a AS n FROM every UNION ALL SELECT b FROM every) GROUP BY n HAVING count(*) > 60),
+      links AS (SELECT * FROM every WHERE a NOT IN (SELECT n FROM hubs) AND b NOT IN (SELECT n FROM hubs)), l0 AS (SELECT a AS n, b AS o FROM links UNION ALL SELECT b, a FROM links)"""]
+    for i in range(1, rounds + 1):
+        parts.append(f"k{i} AS MATERIALIZED (SELECT n FROM l{i - 1} GROUP BY n HAVING count(*) >= 4), l{i} AS MATERIALIZED (SELECT n, o FROM l{i - 1} WHERE n IN (SELECT n FROM k{i}) AND o IN (SELECT n FROM k{i}))")
+    parts.append(f"core AS (SELECT n AS norm, count(*) AS degree FROM l{rounds} WHERE (SELECT min(c) FROM (SELECT count(*) AS c FROM l{rounds} GROUP BY n)) >= 4 GROUP BY n)")
+    return f"WITH {', '.join(parts)} {body}"
+
+
 def _prints(name):
     columns = PRINTED[name]
     cell = lambda c: f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
@@ -359,4 +433,19 @@ ORACLES = {
       c AS (SELECT doc_id, source, t, 1 + ln(count(*)) AS w FROM w WHERE length(raw) > 2 AND t NOT IN ({", ".join(f"'{x}'" for x in bridges.STOP_WORDS)}) GROUP BY ALL), v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, source)) AS x FROM c),
       p AS (SELECT a.doc_id AS source_id, b.doc_id AS target_id, round(sum(a.x * b.x), 9) AS s FROM v a JOIN v b ON a.t = b.t AND a.source <> b.source GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.5),
       r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_id) AS rank FROM p) SELECT source_id, target_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3""",
+    "g16_realtime_bridges": rf"""WITH d AS (SELECT 'd' AS side, doc_id AS id, source, text FROM documents UNION ALL SELECT 'b', item_id, '', text || ' unheard' FROM benchmark),
+      w AS (SELECT side, id, source, unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pM\pN_\s\-]', ' ', 'g'), '\s+')) AS raw FROM d),
+      c AS (SELECT side, id, source, trim(raw, '-') AS t, 1 + ln(count(*)) AS w FROM w WHERE length(raw) > 2 AND trim(raw, '-') NOT IN ({", ".join(f"'{x}'" for x in bridges.STOP_WORDS)}) GROUP BY ALL), v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY side, id, source)) AS x FROM c),
+      p AS (SELECT a.id AS item_id, b.id AS target_id, round(sum(a.x * b.x), 9) AS s FROM v a JOIN v b ON a.t = b.t AND a.side = 'b' AND b.side = 'd' GROUP BY 1, 2 HAVING round(sum(a.x * b.x), 9) >= 0.3),
+      r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, target_id) AS rank FROM p) SELECT item_id, target_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""",
+    "g8_topology_nodes": _V(_peeled("SELECT id AS norm, name, kind, degree FROM core JOIN entities ON id = core.norm")),
+    "g8_topology_edges": _V(_peeled("SELECT DISTINCT src AS source, dst AS target, relation FROM relations r JOIN links ON least(src, dst) = a AND greatest(src, dst) = b JOIN core x ON x.norm = a JOIN core y ON y.norm = b WHERE r.clearance <= 2")),
+    "x2_structure_records": """WITH u AS (SELECT doc_id AS id, source = 'src0' AS guide, source = 'src0' AND doc_id % 40 = 0 AS listed, '/' || lang || '/P' || doc_id || '.html' AS rest, source, lang, doc_id % 3 = 0 AS part FROM documents)
+      SELECT id, CASE WHEN guide THEN 'guide' ELSE 'files' END AS label, CASE WHEN listed THEN 'guide:d' || id WHEN NOT guide THEN 'files:path:' || source || rest END AS topic_id,
+        CASE WHEN listed OR NOT guide THEN 'native' ELSE 'composite' END AS record_kind, CASE WHEN guide AND NOT listed THEN 'page not listed' ELSE '' END AS review FROM u""",
+    "x2_structure_nodes": """WITH f AS (SELECT * FROM documents WHERE source <> 'src0'), g AS (SELECT * FROM documents WHERE source = 'src0')
+      SELECT 'files:path:' AS topic_id, 'files' AS package, 'files' AS name, 1 AS depth FROM f UNION SELECT 'files:path:' || source, 'files', source, 2 FROM f UNION SELECT 'files:path:' || source || '/' || lang, 'files', lang, 3 FROM f
+      UNION SELECT 'files:path:' || source || '/' || lang || '/P' || doc_id || '.html', 'files', 'P' || doc_id || '.html', 4 FROM f
+      UNION SELECT 'guide:' || lang, 'guide', upper(lang), 1 FROM g UNION SELECT 'guide:d' || doc_id, 'guide', 'Page ' || doc_id, 2 FROM g WHERE doc_id % 40 = 0""",
 }
+ORACLES["g16_refreshed_bridges"] = ORACLES["j13_bridges"]
