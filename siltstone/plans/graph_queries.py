@@ -285,7 +285,7 @@ def g16_realtime_bridges(spark, sf_dir):
 
 
 def _topology(spark, sf_dir):
-    return topology.topology(_graph(spark, sf_dir), ("supplier", "part", "nation"), LEVEL, cap=60, core=4)
+    return topology.topology(_graph(spark, sf_dir), ("supplier", "part", "nation"), LEVEL, cap=425, core=18)
 
 
 def g8_topology_nodes(spark, sf_dir):
@@ -345,14 +345,14 @@ _V = views.with_views
 
 
 def _peeled(body, rounds=12):
-    """Peeling to four neighbours written out round by round, and a last row that the join below finds only when no node falls any more."""
+    """Peeling to 18 neighbours written out round by round, and a last row that the join below finds only when no node falls any more."""
     parts = ["""seen AS (SELECT id FROM entities WHERE clearance <= 2 AND kind IN ('supplier', 'part', 'nation')),
       every AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM relations WHERE clearance <= 2 AND src <> dst AND src IN (SELECT id FROM seen) AND dst IN (SELECT id FROM seen)),
-      hubs AS (SELECT n FROM (SELECT a AS n FROM every UNION ALL SELECT b FROM every) GROUP BY n HAVING count(*) > 60),
+      hubs AS (SELECT n FROM (SELECT a AS n FROM every UNION ALL SELECT b FROM every) GROUP BY n HAVING count(*) > 425),
       links AS (SELECT * FROM every WHERE a NOT IN (SELECT n FROM hubs) AND b NOT IN (SELECT n FROM hubs)), l0 AS (SELECT a AS n, b AS o FROM links UNION ALL SELECT b, a FROM links)"""]
     for i in range(1, rounds + 1):
-        parts.append(f"k{i} AS MATERIALIZED (SELECT n FROM l{i - 1} GROUP BY n HAVING count(*) >= 4), l{i} AS MATERIALIZED (SELECT n, o FROM l{i - 1} WHERE n IN (SELECT n FROM k{i}) AND o IN (SELECT n FROM k{i}))")
-    parts.append(f"core AS (SELECT n AS norm, count(*) AS degree FROM l{rounds} WHERE (SELECT min(c) FROM (SELECT count(*) AS c FROM l{rounds} GROUP BY n)) >= 4 GROUP BY n)")
+        parts.append(f"k{i} AS MATERIALIZED (SELECT n FROM l{i - 1} GROUP BY n HAVING count(*) >= 18), l{i} AS MATERIALIZED (SELECT n, o FROM l{i - 1} WHERE n IN (SELECT n FROM k{i}) AND o IN (SELECT n FROM k{i}))")
+    parts.append(f"core AS (SELECT n AS norm, count(*) AS degree FROM l{rounds} WHERE (SELECT min(c) FROM (SELECT count(*) AS c FROM l{rounds} GROUP BY n)) >= 18 GROUP BY n)")
     return f"WITH {', '.join(parts)} {body}"
 
 
