@@ -275,12 +275,14 @@ def g16_refreshed_bridges(spark, sf_dir):
 def g16_realtime_bridges(spark, sf_dir):
     """The benchmark's passages, which no index holds, with their nearest documents of each source."""
     views.register(spark, sf_dir)
-    held = bridges.stored_terms(spark.sql("SELECT doc_id AS topic_id, source AS package, text FROM documents"))
+    documents = spark.sql("SELECT doc_id AS topic_id, source AS package, text FROM documents")
     asked = spark.sql("SELECT item_id AS topic_id, 'benchmark' AS package, concat(text, ' unheard') AS text FROM benchmark")
     companions = spark.sql("SELECT DISTINCT 'benchmark' AS source_package, source AS target_package FROM documents")
     # Numbers of passages and documents overlap; passages are told apart by sign.
     asked = asked.withColumn("topic_id", -1 - F.col("topic_id"))
-    found = bridges.realtime(asked, held, companions, 5, 0.3)
+    with workspace.Scratch(spark, "bridges") as scratch:
+        held = scratch.put("terms", bridges.stored_terms(documents))
+        found = G.cut(bridges.realtime(asked, held, companions, 5, 0.3))
     return found.select((-1 - F.col("source_id")).alias("item_id"), "target_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
