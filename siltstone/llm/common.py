@@ -65,12 +65,15 @@ class Store:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         Store.made.append(self)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, group_rows: int | None = None) -> DataFrame:
+        """Writes and reads back a table. Rows of megabytes need ``group_rows``, the rows of a row group: Parquet looks at the size of a page or group
+        after a hundred rows only, and is read by up to 4096 rows at once, but never beyond a group."""
         path = f"{self.root}/{name}"
+        groups = {"parquet.block.row.count.limit": group_rows} if group_rows else {}
         before = self.spark.conf.get(self.CLEANUP, "false")
         self.spark.conf.set(self.CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").options(**groups).parquet(path)
         finally:
             self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

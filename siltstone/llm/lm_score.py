@@ -39,6 +39,8 @@ LEVEL_BASE, PRIOR = 1.5, 64.0
 #: Probes for each level, and filter bits for each level of each n-gram: about 0.5 % of the probes for what is not there are all set.
 PROBES, BITS = 5, 12
 CHUNK_BYTES, BLOCK_BYTES = 6 << 20, 1 << 20
+#: Rows of a row group of chunks, segments and answers. They bound what a task holds of a table, however much of it the task reads or writes.
+CHUNK_ROWS, SEGMENT_ROWS, ANSWER_ROWS = 2, 16, 1024
 #: n-gram entries for each segment of the filter, and training tokens for each segment of the word table.
 SEGMENT_ENTRIES, SEGMENT_TOKENS = 1 << 19, 1 << 21
 #: Up to so many bytes of segments are broadcast.
@@ -336,7 +338,7 @@ def train(chunks: DataFrame, store: C.Store, order: int = ORDER, prior: float =
     total = chunks.agg(F.sum("train_tokens")).first()[0] or 0
     gram_segments, word_segments = max(1, -(-(order - 1) * total // segment_entries)), max(1, -(-total // segment_tokens))
     counted = chunks.mapInArrow(_counted(order, gram_segments, word_segments), "kind int, segment int, keys binary, counts binary")
-    segments = store.put("segments", counted.groupBy("kind", "segment").applyInArrow(_segment, SEGMENT))
+    segments = store.put("segments", counted.groupBy("kind", "segment").applyInArrow(_segment, SEGMENT), SEGMENT_ROWS)
     about = segments.agg(F.sum(F.when(F.col("kind") == WORDS, F.col("n"))), F.sum(F.octet_length("body"))).first()
     return Model(segments, order, gram_segments, word_segments, total, about[0] or 0, about[1] or 0, prior)
 
@@ -449,7 +451,7 @@ def score(chunks: DataFrame, model: Model, store: C.Store, broadcast_bytes: int
         return pa.Table.from_batches([_rows(batch, 0, Scorer(*_opened(batch, 0)[:2], *shape), counts, found, total, *fit)])
 
     asked = chunks.mapInArrow(ask, "kind int, segment int, chunk long, keys binary")
-    answers = store.put("answers", asked.groupBy("kind", "segment").cogroup(model.segments.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, segment int, found binary").where("chunk IS NOT NULL"))
+    answers = store.put("answers", asked.groupBy("kind", "segment").cogroup(model.segments.groupBy("kind", "segment")).applyInArrow(answer, "chunk long, kind int, segment int, found binary").where("chunk IS NOT NULL"), ANSWER_ROWS)
     store.drop("segments")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, SCORES)
 
@@ -465,7 +467,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, i
     C.ship(spark)
     store = C.Store(spark, "lm-score")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = store.put("chunks", source.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_chunked(chunk_bytes), CHUNK))
+    chunks = store.put("chunks", source.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_chunked(chunk_bytes), CHUNK), CHUNK_ROWS)
     return score(chunks, train(chunks, store, order, prior, segment_entries, segment_tokens), store, broadcast_bytes)
 
 
