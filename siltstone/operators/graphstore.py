@@ -116,23 +116,32 @@ def find_entities(graph: Graph, names: DataFrame, aliases: Mapping[str, str] | N
     """(question, name) to (question, norm, step): by alias, else by name, else the entity that holds the name, else the longest that the name holds.
 
     Ties: of entities that hold it, more documents, then shorter names; of those held, longer names, then more documents; then by name.
-    Containment is looked up through three-letter pieces, so it joins on keys and not each pair.
+    Containment is looked up by whole substrings of the lengths that occur on the other side, so a join meets only what it finds: common pieces bring
+    no pairs. Each text is answered once, however many questions ask it, and only texts that no name equals look for containment.
     """
     aliases = {k.lower(): v.lower() for k, v in (aliases or {}).items()}
     seen = graph.entities.where(F.col("clearance") <= clearance).join(graph.postings.groupBy("norm").agg(F.countDistinct("doc_id").alias("docs")), "norm", "left").select("norm", F.lower("name").alias("low"), F.coalesce("docs", F.lit(0)).alias("docs"))
     asked = names.select("question", F.lower(F.trim("name")).alias("asked")).where("asked <> ''").distinct()
+    texts = asked.select("asked").distinct()
     mapped = F.element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), F.col("asked")) if aliases else F.lit(None).cast("string")
     keyed = seen.select("norm", "docs", F.explode(F.array_distinct(F.array("norm", "low"))).alias("key"))
-    equal = lambda key, step: asked.withColumn("key", key).where("key is not null").join(keyed, "key").select("question", "norm", "docs", F.lit(step).alias("step"))
-    pieces = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))))
-    first = F.substring  # the piece by which a short text is looked up in a longer one
-    holding = asked.where("length(asked) >= 3").withColumn("piece", first(F.col("asked"), 1, 3)).join(seen.withColumn("piece", F.explode(pieces(F.col("norm")))), "piece").where(F.col("norm").contains(F.col("asked"))).select("question", "norm", "docs", F.lit(3).alias("step"))
-    held = asked.withColumn("piece", F.explode(pieces(F.col("asked")))).join(seen.where("length(norm) >= 3").withColumn("piece", first(F.col("norm"), 1, 3)), "piece").where(F.col("asked").contains(F.col("norm"))).select("question", "norm", "docs", F.lit(4).alias("step"))
-    short = asked.where("length(asked) < 3").withColumn("piece", F.col("asked")).join(seen.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.array(F.substring(F.col("norm"), i, F.lit(1)), F.substring(F.col("norm"), i, F.lit(2)))))))), "piece").select("question", "norm", "docs", F.lit(3).alias("step"))
-    every = equal(mapped, 1).unionByName(equal(F.col("asked"), 2)).unionByName(holding).unionByName(short).unionByName(held).distinct()
+    equal = lambda key, step: texts.withColumn("key", key).where("key is not null").join(keyed, "key").select("asked", "norm", "docs", F.lit(step).alias("step"))
+    named = G.cut(equal(mapped, 1).unionByName(equal(F.col("asked"), 2)))
+    others = G.cut(texts.join(named, "asked", "left_anti"))
+    held_by = seen.select("norm", "docs").where("norm is not null")
+    lengths = lambda t, column, least: t.select(F.length(column).alias("n")).where(F.col("n") >= least).agg(F.collect_set("n").alias("lengths"))
+
+    def parts(text: str) -> Column:
+        """The distinct substrings of a text that have one of ``lengths``."""
+        fit = F.filter("lengths", lambda n: n <= F.length(text))
+        return F.explode(F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))))))
+
+    holding = held_by.crossJoin(F.broadcast(lengths(others, "asked", 1))).select("norm", "docs", parts("norm").alias("asked")).join(others, "asked").select("asked", "norm", "docs", F.lit(3).alias("step"))
+    held = others.crossJoin(F.broadcast(lengths(held_by, "norm", 3))).select("asked", parts("asked").alias("norm")).join(held_by, "norm").select("asked", "norm", "docs", F.lit(4).alias("step"))
     size = F.length("norm")
-    order = W.partitionBy("question").orderBy("step", F.when(F.col("step") == 4, -size).otherwise(F.lit(0)), F.desc("docs"), F.when(F.col("step") == 3, size).otherwise(F.lit(0)), "norm")
-    return every.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("question", "norm", "step")
+    order = F.struct("step", F.when(F.col("step") == 4, -size).otherwise(F.lit(0)).alias("longest"), (-F.col("docs")).alias("most"), F.when(F.col("step") == 3, size).otherwise(F.lit(0)).alias("shortest"), "norm")
+    best = named.unionByName(holding).unionByName(held).groupBy("asked").agg(F.min(order).alias("best"))
+    return asked.join(best, "asked").withColumn("__n", F.row_number().over(W.partitionBy("question").orderBy("best"))).where("__n = 1").select("question", F.col("best.norm").alias("norm"), F.col("best.step").alias("step"))
 
 
 def visible(graph: Graph, clearance: int) -> DataFrame:
