@@ -11,9 +11,11 @@
    and by the register matches, corrected for chance collisions, with six standard errors of slack; what
    is left is confirmed on the full shingle sets of both texts. Confirmed links give components.
 5. Then only buckets that still hold several components are looked at: members outside the bucket's largest
-   component are held against all members of other components, in blocks of bounded size. A block emits
-   only pairs that may be similar enough, judged by 16-bit prints of the whole set (their overlap is never
-   below the true one) or, for sets over ``WHOLE``, by the registers. So each pair of classes in a bucket is
+   component are held against all members of other components, in blocks of bounded size. A block first names
+   the members that may have a similar one, judged by 16-bit prints of the whole set (their overlap is never
+   below the true one) or, for sets over ``WHOLE``, by the registers. Only those bring their full sets into
+   the second look, which confirms pairs and joins their components as it goes: it passes over pairs that are
+   joined by then, so a block gives fewer links than it has components. So each pair of classes in a bucket is
    confirmed, refused or already joined, without writing out all pairs of a group.
 
 Components are found by alternating large-star and small-star steps (Kiveris et al.), with every state
@@ -42,8 +44,8 @@ ESTIMATE_FROM = 256
 WHOLE = 1024
 #: Up to this many ids (16 MB) are broadcast to pick out the texts to move; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rows on either side of a block of a bucket.
-BLOCK = 2048
+#: Rows on either side of a block of a bucket, and shingles on either side where full sets are compared.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, size=(4096, REGISTERS))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -220,21 +222,17 @@ class Linker:
         tested = put("tested", self.candidates(stars, nodes))
         links = put("links", self.confirmed(tested, "first"))
         parts = put("parts", components(links, self.store, "first"))
-        more = put("more", self.leftover(members, parts, tested, nodes))
-        if more.isEmpty():
-            final = parts
-        else:
-            extra = put("extra", self.confirmed(more, "second"))
-            final = parts if extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
-        self.store.drop("heads", "members", "tested", "links", "more", "extra", "open", "totals", "full", "involved-first", "involved-second")
+        extra = self.leftover(members, parts, nodes)
+        final = parts if extra is None or extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
+        self.store.drop("heads", "members", "tested", "links", "extra", "open", "totals", "full", "flagged", "involved-first", "involved-second")
         groups = classes.where("copies > 1").select("fp1", "fp2", "n_shingles", "node")
         placed = rows.drop("bands", "small").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
         least = placed.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
         own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
         return least.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
-    def leftover(self, members: DataFrame, parts: DataFrame, tested: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Untested pairs in buckets that hold more than one component."""
+    def leftover(self, members: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame | None:
+        """Confirmed links that join what is similar in buckets of more than one component; None without such buckets' candidates."""
         placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
         mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
         open_ = self.store.put("open", placed.join(mixed, "key", "left_semi"))
@@ -244,13 +242,48 @@ class Linker:
         full = self.store.put("full", open_.join(totals, "key").join(facts, "node"))
         number = lambda n: F.ceil(n / BLOCK).cast("int")
         left_blocks, right_blocks = number(F.col("n_all") - F.col("n_largest")), number(F.col("n_all"))
-        salt = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
-        all_ = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-        columns = ["key", "l", "r", "node", "part", "n", "small", "bands"]
-        rest = full.where("part <> largest").withColumn("l", salt(left_blocks)).withColumn("r", all_(right_blocks)).select(*columns)
-        every = full.withColumn("r", salt(right_blocks)).withColumn("l", all_(left_blocks)).select(*(F.col(c).alias(f"{c}_") for c in columns))
-        pairs = rest.groupBy("key", "l", "r").cogroup(every.groupBy("key_", "l_", "r_")).applyInArrow(_block(self.percent), "a long, b long")
-        return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        flags = _crossed(full, left_blocks, right_blocks, ["key", "l", "r", "node", "part", "n", "small", "bands"], _block(self.percent), "key long, nodes array<long>")
+        flagged = self.store.put("flagged", flags)
+        if flagged.isEmpty():
+            return None
+        named = flagged.select("key", F.explode("nodes").alias("node")).distinct()
+        involved = self.store.put("involved-second", named.select("node").distinct())
+        small = involved.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(involved) if small else involved, self.docs["doc_id"] == involved["node"], "left_semi")
+        sets = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_sets(self.width), "node long, full binary")
+        rows = full.select("key", "node", "part", "largest", "n").distinct()
+        shingles = rows.join(named, ["key", "node"], "left_semi").groupBy("key").agg(F.sum("n").alias("shingles"))
+        again = rows.join(named, ["key", "node"], "left_semi").join(shingles, "key").select("key", "node", "part", "largest", "shingles").distinct().join(sets, "node")
+        blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
+        links = _crossed(again, blocks, blocks, ["key", "l", "r", "node", "part", "full"], _joined(self.percent), "a long, b long")
+        return self.store.put("extra", links.distinct())
+
+
+def _crossed(rows: DataFrame, left_blocks: Column, right_blocks: Column, columns: list[str], run, schema: str) -> DataFrame:
+    """``run`` over each block of the members outside a bucket's largest component and each block of all its members."""
+    salt = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    all_ = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    rest = rows.where("part <> largest").withColumn("l", salt(left_blocks)).withColumn("r", all_(right_blocks)).select(*columns)
+    every = rows.withColumn("r", salt(right_blocks)).withColumn("l", all_(left_blocks)).select(*(F.col(c).alias(f"{c}_") for c in columns))
+    return rest.groupBy("key", "l", "r").cogroup(every.groupBy("key_", "l_", "r_")).applyInArrow(run, schema)
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in H.chunks(batch.column(1)):
+                sets = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "full"])
+
+    return run
+
+
+def _overlaps(cell: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of each row's 16-bit prints a set has too."""
+    times = np.zeros(1 << 16, np.int32)
+    times[cell] = 1
+    sums = np.concatenate([[0], np.cumsum(times[flat])])
+    return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
 
 def _block(percent: int):
@@ -258,7 +291,7 @@ def _block(percent: int):
     slack = 6 * (least * (1 - least) / REGISTERS) ** 0.5
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
+        keys, found = [], np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
             node, part, n = (right[c].to_numpy() for c in ("node_", "part_", "n_"))
             cells = right["small_"].to_pylist()
@@ -266,24 +299,55 @@ def _block(percent: int):
             ends = np.cumsum([len(c) // 2 for c in cells])
             large = np.flatnonzero(n > WHOLE)
             bands = np.array([right["bands_"][int(i)].as_py() for i in large], dtype=np.int64).view("<u2").reshape(len(large), REGISTERS)
+            flagged, own_nodes = np.zeros(len(node), dtype=bool), []
             for i in range(left.num_rows):
                 x, own, size, cell, own_bands = (left[c][i].as_py() for c in ("node", "part", "n", "small", "bands"))
                 ok = (part != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
                 if not ok.any():
                     continue
                 if size <= WHOLE:
-                    times = np.zeros(1 << 16, np.int32)
-                    times[np.frombuffer(cell, "<u2")] = 1
-                    sums = np.concatenate([[0], np.cumsum(times[flat])])
-                    shared = np.minimum(sums[ends] - sums[np.concatenate([[0], ends[:-1]])], np.minimum(n, size))
+                    shared = np.minimum(_overlaps(np.frombuffer(cell, "<u2"), flat, ends), np.minimum(n, size))
                     ok &= (n > WHOLE) | (100 * shared >= percent * (n + size - shared))
                 else:
                     same = (bands == np.array(own_bands, dtype=np.int64).view("<u2")).mean(axis=1)
                     ok[large[same < least - slack]] = False
-                hits = node[ok]
-                found_a.append(np.minimum(hits, x))
-                found_b.append(np.maximum(hits, x))
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
+                if ok.any():
+                    own_nodes.append(x)
+                    flagged |= ok
+            found = np.unique(np.concatenate([node[flagged], np.array(own_nodes, np.int64)]))
+            keys = [left["key"][0].as_py()] if len(found) else []
+        return pa.table({"key": pa.array(keys, pa.int64()), "nodes": pa.array([found] if keys else [], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _joined(percent: int):
+    """Links that join the components of a block as far as their members are similar; each is confirmed on full sets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            node = right["node_"].to_numpy()
+            sets = [np.frombuffer(c.as_buffer(), "<u8") for c in right["full_"]]
+            n = np.array([len(x) for x in sets])
+            ends, flat = np.cumsum(n), (np.concatenate(sets) >> U(40)).astype(np.uint16)
+            _, labels = np.unique(np.concatenate([left["part"].to_numpy(), right["part_"].to_numpy()]), return_inverse=True)
+            rows = left.num_rows
+            for i in range(rows):
+                own = np.frombuffer(left["full"][i].as_buffer(), "<u8")
+                x, size = left["node"][i].as_py(), len(own)
+                ok = (labels[rows:] != labels[i]) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+                if ok.any():
+                    shared = np.minimum(_overlaps((own >> U(40)).astype(np.uint16), flat, ends), np.minimum(n, size))
+                    ok &= 100 * shared >= percent * (n + size - shared)
+                for j in np.flatnonzero(ok):
+                    if labels[rows + j] == labels[i]:
+                        continue
+                    both = size + n[j] - len(np.unique(np.concatenate([own, sets[j]])))
+                    if similar(both, size, n[j], percent):
+                        a.append(min(x, node[j]))
+                        b.append(max(x, node[j]))
+                        labels[labels == labels[rows + j]] = labels[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
