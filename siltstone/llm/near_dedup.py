@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -224,7 +225,7 @@ class Linker:
         parts = put("parts", components(links, self.store, "first"))
         extra = self.leftover(members, parts, nodes)
         final = parts if extra is None or extra.isEmpty() else put("final", components(links.unionByName(extra), self.store, "second"))
-        self.store.drop("heads", "members", "tested", "links", "extra", "open", "totals", "full", "flagged", "involved-first", "involved-second")
+        self.store.drop("heads", "members", "tested", "links", "extra", "open", "totals", "full", "flagged", "chosen", "involved-first", "involved-second")
         groups = classes.where("copies > 1").select("fp1", "fp2", "n_shingles", "node")
         placed = rows.drop("bands", "small").join(groups, ["fp1", "fp2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
         least = placed.join(final, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
@@ -251,9 +252,9 @@ class Linker:
         small = involved.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(involved) if small else involved, self.docs["doc_id"] == involved["node"], "left_semi")
         sets = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(_sets(self.width), "node long, full binary")
-        rows = full.select("key", "node", "part", "largest", "n").distinct()
-        shingles = rows.join(named, ["key", "node"], "left_semi").groupBy("key").agg(F.sum("n").alias("shingles"))
-        again = rows.join(named, ["key", "node"], "left_semi").join(shingles, "key").select("key", "node", "part", "largest", "shingles").distinct().join(sets, "node")
+        rows = full.join(named, ["key", "node"], "left_semi").groupBy("key", "node", "part", "largest").agg(F.max("n").alias("n"))
+        chosen = self.store.put("chosen", rows.withColumn("shingles", F.sum("n").over(W.partitionBy("key"))).drop("n"))
+        again = chosen.join(sets, "node")
         blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
         links = _crossed(again, blocks, blocks, ["key", "l", "r", "node", "part", "full"], _joined(self.percent), "a long, b long")
         return self.store.put("extra", links.distinct())
