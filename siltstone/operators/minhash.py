@@ -1,13 +1,19 @@
 """MinHash signatures of 64 permutations over CRC-32 shingles, and near duplicates in order of arrival.
 
-A signature is an array column made by built-in functions. Candidates share a band of a signature; each is checked on the whole
+A signature is an array column, by built-in functions alone for a column or with the permutations in numpy for a table. Candidates share a band of a signature; each is checked on the whole
 signatures, so bands decide only what is looked at: with one row a band, any pair that reaches the threshold shares a band.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from . import graph as G
@@ -27,11 +33,15 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return [(line(MULTIPLIER, i) | 1, line(ADDEND, i)) for i in range(1, n + 1)]
 
 
-def shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
-    """The distinct runs of ``words`` words, lower case; with fewer words, all of them as one; without any, the empty string. Reply marks of subject lines are left out."""
+def _runs(text: Column, words: int) -> Column:
     body = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), REPLY, "$1"))
     runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - words + 1)), lambda i: F.array_join(F.slice(t, i, words), " "))
-    return S.bound(F.array_remove(F.split(body, r"(?U)\s+"), ""), lambda t: F.array_distinct(F.when(F.size(t) >= words, runs(t)).otherwise(F.array(F.array_join(t, " ")))))
+    return S.bound(F.array_remove(F.split(body, r"(?U)\s+"), ""), lambda t: F.when(F.size(t) >= words, runs(t)).otherwise(F.array(F.array_join(t, " "))))
+
+
+def shingles(text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """The distinct runs of ``words`` words, lower case; with fewer words, all of them as one; without any, the empty string. Reply marks of subject lines are left out."""
+    return F.array_distinct(_runs(text, words))
 
 
 def signature(text: Column, n: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> Column:
@@ -43,6 +53,31 @@ def signature(text: Column, n: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -
     return S.bound(hashes, lambda hs: F.transform(rules, lambda r: F.array_min(F.transform(hs, lambda h: product(r, h)))))
 
 
+def signed(docs: DataFrame, n: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, signature) of docs (doc_id, text): the values of ``signature``, with the permutations in numpy over many texts at once."""
+    rules = coefficients(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(1)
+            size = pc.list_value_length(hashes).to_numpy(zero_copy_only=False)
+            h, starts = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(size) - size
+            out = np.empty((len(hashes), n), np.int64)
+            first = 0
+            while first < len(hashes):  # whole texts, about as many hashes as a cache holds
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 16))))
+                part, at = h[starts[first] : starts[last - 1] + size[last - 1]], starts[first:last] - starts[first]
+                for i, (a, b) in enumerate(rules):  # unsigned 32-bit numbers wrap, which is the modulus
+                    out[first:last, i] = np.minimum.reduceat(part * np.uint32(a) + np.uint32(b), at)
+                first = last
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "signature"])
+
+    # Repeated shingles don't change a least value, and every text has a shingle.
+    rows = docs.select("doc_id", F.transform(_runs(F.col("text"), words), lambda s: F.crc32(F.encode(s, "UTF-8"))).alias("hashes"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("signature", T.ArrayType(T.LongType()))]))
+
+
 def similarity(left: Column, right: Column) -> Column:
     """The share of permutations with equal values: an estimate of Jaccard similarity. Null for signatures of different lengths or none."""
     same = F.aggregate(F.zip_with(left, right, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -60,9 +95,9 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = PERMUTATI
 
     Copies are no pairs, however many there are; and no pair is missed. A band's bucket is as large as the heads that share the band.
     """
-    signed = G.cut(docs.where("doc_id is not null").select("doc_id", signature(F.col("text"), n, words).alias("signature")))
-    heads = G.cut(signed.groupBy("signature").agg(F.min("doc_id").alias("head")))
-    classes = signed.join(heads, "signature").select("doc_id", "head", "signature")
+    held = G.cut(signed(docs.where("doc_id is not null"), n, words))
+    heads = G.cut(held.groupBy("signature").agg(F.min("doc_id").alias("head")))
+    classes = held.join(heads, "signature").select("doc_id", "head", "signature")
     bands = bands_for(threshold, n)
     rows = n // bands
     keyed = heads.select("head", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.slice("signature", k * rows + 1, rows))).alias("band", "part")).select("head", F.xxhash64("band", "part").alias("key"))
@@ -106,7 +141,6 @@ def duplicate_of(known: DataFrame, fresh: DataFrame, threshold: float = THRESHOL
     rows = n // bands
     keys = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice(c, k * rows + 1, rows)))
     left = known.select(F.col("doc_id").alias("match"), F.col("signature").alias("__known"), F.explode(keys(F.col("signature"))).alias("key"))
-    signed = fresh.select("doc_id", signature(F.col("text"), n, words).alias("__own"))
-    right = signed.select("doc_id", "__own", F.explode(keys(F.col("__own"))).alias("key"))
+    right = signed(fresh, n, words).withColumnRenamed("signature", "__own").select("doc_id", "__own", F.explode(keys(F.col("__own"))).alias("key"))
     close = right.join(left, "key").where(similarity(F.col("__own"), F.col("__known")) >= threshold)
     return close.groupBy("doc_id").agg(F.min("match").alias("match"))

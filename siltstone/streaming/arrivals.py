@@ -37,7 +37,7 @@ def _keys(signature: Column, threshold: float, n: int) -> Column:
 def decide(batch: DataFrame, number: int, bands: KeyedTable, verdicts: KeyedTable, threshold: float = M.THRESHOLD, n: int = M.PERMUTATIONS, words: int = M.SHINGLE_WORDS) -> None:
     """One batch of documents (doc_id, text). Rows without an id are left out; of rows that share one, one counts."""
     docs = G.cut(batch.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
-    signed = G.cut(docs.select("doc_id", M.signature(F.col("text"), n, words).alias("signature")))
+    signed = G.cut(M.signed(docs, n, words))
     keyed = signed.select("doc_id", "signature", F.explode(_keys(F.col("signature"), threshold, n)).alias("band"))
     known = bands.current(before=number, only=keyed.select("band")).select("band", F.col("doc_id").alias("__match"), F.col("signature").alias("__known"))
     close = keyed.join(known, "band").where((F.col("doc_id") != F.col("__match")) & (M.similarity(F.col("signature"), F.col("__known")) >= threshold))
