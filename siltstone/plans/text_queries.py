@@ -59,14 +59,20 @@ def _frame(spark, sf_dir, body):
     return spark.sql(body)
 
 
+def _spread(rows, key):
+    """Rows dealt by a key. A star table's file may be a few MB in one row group, which Spark reads in one task, however long each row takes to work on."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def f5_classify(spark, sf_dir):
-    asked = _frame(spark, sf_dir, _ASKED).select("question", intent.classify(F.expr("replace(q, '{n}', n)")).alias("c"))
+    asked = _spread(_frame(spark, sf_dir, _ASKED), "question").select("question", intent.classify(F.expr("replace(q, '{n}', n)")).alias("c"))
     return asked.select("question", "c.route_type", "c.needs_synthesis", F.col("c.extracted_identifier.id_type").alias("id_type"), F.col("c.extracted_identifier.normalized_value").alias("normalized_value"))
 
 
 def f3_intents(spark, sf_dir):
     q = F.expr("replace(q, '{n}', n)")
-    return _frame(spark, sf_dir, _ASKED).select("question", intent.has_intent(q, intent.RELATIONAL).alias("relational"), intent.has_intent(q, intent.MACRO).alias("macro"), intent.is_guarded(q).alias("guarded"))
+    return _spread(_frame(spark, sf_dir, _ASKED), "question").select("question", intent.has_intent(q, intent.RELATIONAL).alias("relational"), intent.has_intent(q, intent.MACRO).alias("macro"), intent.is_guarded(q).alias("guarded"))
 
 
 def f6_bands(spark, sf_dir):
@@ -140,7 +146,7 @@ TODAY = "1995-03-15"
 
 
 def _bills(spark, sf_dir):
-    rows = _frame(spark, sf_dir, _BILLS)
+    rows = _spread(_frame(spark, sf_dir, _BILLS), "doc_id")
     local = F.translate(F.format_number("price", 2), ",.", ".,")
     notice = F.when(F.col("doc_id") % 11 == 0, F.lit(" INTIMAÇÃO judicial")).otherwise(F.lit(""))
     return rows.withColumn("content", F.concat(F.lit("Vencimento: "), F.date_format("due", "dd/MM/yyyy"), F.lit(", total R$ "), local, F.lit(" ref ADR-"), (F.col("doc_id") % 40).cast("string"), F.lit(" and 123.456.789-09 at 10.0.0.7:8080"), notice))
@@ -171,7 +177,7 @@ _LETTERS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Nota  Fiscal
 
 
 def f21_classified(spark, sf_dir):
-    rows = _frame(spark, sf_dir, _LETTERS).select("id", T.classified(F.col("title"), F.col("content"), TYPES, SENDERS, TAGS).alias("c"))
+    rows = _spread(_frame(spark, sf_dir, _LETTERS), "id").select("id", T.classified(F.col("title"), F.col("content"), TYPES, SENDERS, TAGS).alias("c"))
     return rows.select("id", "c.document_type", "c.correspondent", F.array_join("c.tags", ",").alias("tags"), "c.confidence")
 
 
@@ -249,12 +255,12 @@ _CSV = "SELECT concat('t/', c_custkey, '.csv') AS path, concat('name;city;cpf\n'
 
 
 def s24_table_rows(spark, sf_dir):
-    found = parsing.table_rows(_bytes(_frame(spark, sf_dir, _CSV)))
+    found = parsing.table_rows(_bytes(_spread(_frame(spark, sf_dir, _CSV), "path")))
     return found.where("row < 4").select("path", F.col("row").cast("long").alias("row"), "primary_id")
 
 
 def s12_csv_sections(spark, sf_dir):
-    found = parsing.sections(_bytes(_frame(spark, sf_dir, _CSV)))
+    found = parsing.sections(_bytes(_spread(_frame(spark, sf_dir, _CSV), "path")))
     return found.select("path", "format", "kind", F.split("text", "\n")[0].alias("first"))
 
 
