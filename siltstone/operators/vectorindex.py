@@ -30,6 +30,8 @@ from . import retrieval as R
 SAMPLE, MOST_CELLS = 20_000, 4096
 #: Scores are rounded to six digits; bounds keep more than that as slack.
 SLACK = 2e-6
+#: Vectors whose distances to all centres a task holds at once, and rows that it sends at once.
+ROWS_AT_ONCE, SENT_AT_ONCE = 256, 8192
 
 
 def sound(v):
@@ -52,7 +54,7 @@ def train(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndar
     distinct = np.unique(x, axis=0)
     centres = distinct[np.random.default_rng(seed).permutation(len(distinct))[:cells]]
     for _ in range(rounds):
-        own = distances(x, centres).argmin(axis=1)
+        own = np.concatenate([distances(x[at : at + 1024], centres).argmin(axis=1) for at in range(0, len(x), 1024)])
         n = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -60,24 +62,35 @@ def train(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndar
     return centres
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, few at a time: distances to 4096 centres take 32 kB a row, several times over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _sent(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(question, q, cell) of a batch's rows, repeated for their cells."""
+    for at in range(0, len(rows), SENT_AT_ONCE):
+        own = rows[at : at + SENT_AT_ONCE]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(cell[at : at + SENT_AT_ONCE].astype(np.int32))], names=["question", "q", "cell"])
+
+
 def _placed(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                away = distances(units(batch.column(1)), centres)
-                cell = away.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away[np.arange(len(cell)), cell]), pa.array(cell.astype(np.int32))], names=["id", "v", "away", "cell"])
+        for batch in _slices(batches):
+            away = distances(units(batch.column(1)), centres)
+            cell = away.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away[np.arange(len(cell)), cell]), pa.array(cell.astype(np.int32))], names=["id", "v", "away", "cell"])
 
     return run
 
 
 def _nearest_cells(centres: np.ndarray, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                best = np.argsort(distances(units(batch.column(1)), centres), axis=1, kind="stable")[:, :probes]
-                rows = np.repeat(np.arange(len(best)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(best.ravel().astype(np.int32))], names=["question", "q", "cell"])
+        for batch in _slices(batches):
+            best = np.argsort(distances(units(batch.column(1)), centres), axis=1, kind="stable")[:, :probes]
+            yield from _sent(batch, np.repeat(np.arange(len(best)), best.shape[1]), best.ravel())
 
     return run
 
@@ -86,15 +99,13 @@ def _open_cells(centres: np.ndarray, radius: np.ndarray, probes: int):
     """The cells beyond the first ones that may hold a score as good as ``low``; without one, all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                away = distances(units(batch.column(1)), centres)
-                order = np.argsort(away, axis=1, kind="stable")
-                low = batch.column(2).fill_null(-2.0).to_numpy(zero_copy_only=False)
-                open_ = away - radius[None, :] <= np.sqrt(np.maximum(2 - 2 * low, 0.0) + 2 * SLACK)[:, None] + SLACK
-                np.put_along_axis(open_, order[:, :probes], False, axis=1)
-                rows, cell = np.nonzero(open_)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cell.astype(np.int32))], names=["question", "q", "cell"])
+        for batch in _slices(batches):
+            away = distances(units(batch.column(1)), centres)
+            order = np.argsort(away, axis=1, kind="stable")
+            low = batch.column(2).fill_null(-2.0).to_numpy(zero_copy_only=False)
+            open_ = away - radius[None, :] <= np.sqrt(np.maximum(2 - 2 * low, 0.0) + 2 * SLACK)[:, None] + SLACK
+            np.put_along_axis(open_, order[:, :probes], False, axis=1)
+            yield from _sent(batch, *np.nonzero(open_))
 
     return run
 

@@ -48,3 +48,29 @@ def test_few_vectors_and_none(spark, tmp_path):
 
 def test_centres_of_few_distinct_rows():
     assert len(train(np.array([[1.0, 0.0]] * 5 + [[0.0, 1.0]]), 4)) == 2
+
+
+def test_tasks_hold_distances_of_few_vectors_at_once():
+    """A batch of 6,000 vectors against 1,000 centres: distances of all at once, and rows for all open cells at once, took hundreds of MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.operators import vectorindex as V
+
+    rng = np.random.default_rng(5)
+    centres, x = rng.normal(size=(1000, 16)), rng.normal(size=(6000, 16))
+    centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(list(x)), pa.array([None] * 6000, pa.float64())], names=["question", "q", "low"])
+    most_rows, n = 0, 0
+    tracemalloc.start()
+    placed = [b.column(3).to_numpy() for b in V._placed(centres)(iter([batch]))]
+    near = [b.column(2).to_numpy() for b in V._nearest_cells(centres, 3)(iter([batch]))]
+    for b in V._open_cells(centres, np.zeros(1000), 3)(iter([batch])):
+        most_rows, n = max(most_rows, b.num_rows), n + b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = V.distances(V.units(batch.column(1)), centres)
+    assert (np.concatenate(placed) == whole.argmin(axis=1)).all() and (np.concatenate(near).reshape(-1, 3) == np.argsort(whole, axis=1, kind="stable")[:, :3]).all()
+    assert n == 6000 * 997 and most_rows <= V.SENT_AT_ONCE and peak < 60e6
