@@ -35,11 +35,10 @@ EVERY = ""
 FOUND = "question long, id long, score double, read long, held long"
 
 
-def _entries(records: DataFrame) -> DataFrame:
-    """(bucket, id, clearance, length, term, tf) of each record and term; title words weigh R.TITLE_WEIGHT. Grouped within the bucket, so that rows dealt by it are not dealt again."""
+def _rows(records: DataFrame) -> DataFrame:
+    """(bucket, id, clearance, length, body, head, gone) of each record: its terms, joined by spaces, which no term holds."""
     body, head = R.terms(F.col("content")), R.terms(F.col("title"))
-    rows = records.select("bucket", "id", "clearance", F.size(body).alias("length"), F.concat(F.array(F.lit(EVERY)), body, F.flatten(F.array_repeat(head, R.TITLE_WEIGHT))).alias("words"))
-    return rows.select("bucket", "id", "clearance", "length", F.explode("words").alias("term")).groupBy("bucket", "id", "clearance", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return records.select("bucket", "id", "clearance", F.size(body).alias("length"), F.array_join(body, " ").alias("body"), F.array_join(head, " ").alias("head"), F.lit(False).alias("gone"))
 
 
 def _sound(records: DataFrame) -> DataFrame:
@@ -48,12 +47,72 @@ def _sound(records: DataFrame) -> DataFrame:
     return kept.select(F.col("id").cast("long").alias("id"), F.col("clearance").cast("int").alias("clearance"), "title", "content")
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """Postings of each bucket, term and clearance, cut into blocks. A group is no larger than a bucket."""
-    lists = entries.groupBy("bucket", "term", "clearance").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("all"))
-    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    cut = lists.select("bucket", "term", "clearance", F.size("all").cast("long").alias("df"), F.posexplode(F.transform(starts, lambda at: F.slice("all", at, BLOCK))).alias("block", "own"))
-    return cut.select("term", "clearance", "block", F.col("own.id").alias("ids"), F.col("own.tf").alias("tfs"), F.col("own.length").alias("lengths"), F.array_max("own.tf").alias("max_tf"), F.array_min("own.length").alias("min_length"), "df", "bucket")
+#: What a bucket's task makes: blocks of BLOCK postings at the most, in the order of terms within a task.
+BLOCKS = "term string, clearance int, block int, ids array<long>, tfs array<int>, lengths array<int>, max_tf int, min_length int, df long, bucket long"
+
+
+def _invert(rows: int):
+    """The blocks of a bucket: its old blocks (an empty table if there are none) without the ids that come in ``new``, whose rows that are not gone are added. Nested, so that it is sent by value.
+
+    Postings are sorted in numpy in one go; a task holds those of one bucket. Title words weigh R.TITLE_WEIGHT; each record has EVERY once.
+    """
+    title_weight, block_rows, every = R.TITLE_WEIGHT, BLOCK, EVERY
+
+    def run(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        touched = np.unique(new["id"].to_numpy())
+        new = new.filter(pc.invert(new["gone"]))
+        terms, of, count, weight = [], [], [], []  # the terms of each part, and for each term its row, how often it is repeated and what it weighs
+        for name, w in (("body", 1), ("head", title_weight)):
+            lists = pc.split_pattern(pc.cast(new[name], pa.large_string()).combine_chunks(), " ")
+            row, values = np.repeat(np.arange(new.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+            real = pc.not_equal(values, "").to_numpy(zero_copy_only=False)
+            terms.append(values.filter(pa.array(real)))
+            of.append(row[real])
+            weight.append(np.full(len(of[-1]), w))
+        terms.append(pa.array([every] * new.num_rows, pa.large_string()))
+        of.append(np.arange(new.num_rows))
+        weight.append(np.ones(new.num_rows, np.int64))
+        terms.append(pc.cast(old["term"], pa.large_string()).combine_chunks())
+        coded = pa.concat_arrays(terms).dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        fresh, held = codes[: len(codes) - old.num_rows], codes[len(codes) - old.num_rows :]
+        n = max(1, new.num_rows)
+        pair, own = np.unique(fresh * n + np.concatenate(of), return_inverse=True)
+        tf = np.bincount(own, weights=np.concatenate(weight), minlength=len(pair)).astype(np.int64)
+        code, row = pair // n, pair % n
+        column = lambda t, c: t[c].to_numpy().astype(np.int64)
+        code, tf, ids, length, clearance = ([x] for x in (code, tf, column(new, "id")[row], column(new, "length")[row], column(new, "clearance")[row]))
+        if old.num_rows:
+            flat = lambda c: old[c].combine_chunks().flatten().to_numpy().astype(np.int64)
+            sizes = pc.list_value_length(old["ids"]).to_numpy()
+            was = flat("ids")
+            stays = ~np.isin(was, touched)
+            for into, values in ((code, np.repeat(held, sizes)), (tf, flat("tfs")), (ids, was), (length, flat("lengths")), (clearance, np.repeat(column(old, "clearance"), sizes))):
+                into.append(values[stays])
+        code, tf, ids, length, clearance = (np.concatenate(x) for x in (code, tf, ids, length, clearance))
+        levels, level = np.unique(clearance, return_inverse=True)
+        group = code * max(1, len(levels)) + level
+        order = np.lexsort((length, group * rows + (ids - bucket * rows)))
+        group, code, tf, ids, length, clearance = (x[order] for x in (group, code, tf, ids, length, clearance))
+        # Equal rows of one id are one record's.
+        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]) | (length[1:] != length[:-1])])) if len(ids) else np.zeros(0, np.int64)
+        tf = np.add.reduceat(tf, first) if len(first) else tf[:0]
+        group, code, ids, length, clearance = (x[first] for x in (group, code, ids, length, clearance))
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        df = np.diff(np.append(starts, len(ids)))
+        within = np.arange(len(ids)) - np.repeat(starts, df)
+        at = np.flatnonzero(within % block_rows == 0)
+        edges = pa.array(np.append(at, len(ids)), pa.int32())
+        lists = lambda values, kind: pa.ListArray.from_arrays(edges, pa.array(values, kind))
+        least, most = (np.minimum.reduceat(length, at), np.maximum.reduceat(tf, at)) if len(at) else (length, tf)
+        return pa.table({
+            "term": pc.cast(words.take(pa.array(code[at])), pa.string()), "clearance": pa.array(clearance[at], pa.int32()), "block": pa.array(within[at] // block_rows, pa.int32()),
+            "ids": lists(ids, pa.int64()), "tfs": lists(tf, pa.int32()), "lengths": lists(length, pa.int32()), "max_tf": pa.array(most, pa.int32()), "min_length": pa.array(least, pa.int32()),
+            "df": pa.array(np.repeat(df, df)[at], pa.int64()), "bucket": pa.array(np.full(len(at), bucket), pa.int64()),
+        })
+
+    return run
 
 
 @dataclass
@@ -66,7 +125,7 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         schemas = {
-            "postings": "term string, clearance int, block int, ids array<long>, tfs array<int>, lengths array<int>, max_tf int, min_length int, df long, bucket long",
+            "postings": BLOCKS,
             "stats": "term string, clearance int, n long, length long, bucket long",
         }
         return self.spark.read.schema(schemas[name]).parquet(f"{self.where}/{name}")
@@ -93,7 +152,9 @@ class Index:
     def build(cls, records: DataFrame, where: str, rows: int = ROWS) -> Index:
         """The index of records (id, clearance, title, content) in a new folder. Rows that share an id are one record's only if they are equal in length."""
         index = cls(records.sparkSession, where, rows)
-        index._write(_blocks(_entries(index.bucket(_sound(records)).repartition("bucket"))), None)
+        nothing = index.spark.createDataFrame([], BLOCKS)
+        made = nothing.groupBy("bucket").cogroup(_rows(index.bucket(_sound(records))).groupBy("bucket")).applyInArrow(_invert(rows), BLOCKS)
+        index._write(made, None)
         for name in TABLES:  # an index of nothing has its folders too
             if not workspace.exists(index.spark, f"{where}/{name}"):
                 index.table_of_nothing(name)
@@ -113,9 +174,10 @@ class Index:
             ids = scratch.put("ids", self.bucket(new.select("id").unionByName(gone).distinct()))
             touched = scratch.put("touched", ids.select("bucket").distinct())
             kept = self.table("postings").join(touched, "bucket", "left_semi")
-            old = kept.select("bucket", "term", "clearance", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).select("bucket", F.col("ids").alias("id"), "clearance", F.col("lengths").alias("length"), "term", F.col("tfs").alias("tf")).join(ids.select("id"), "id", "left_anti")
-            after = old.unionByName(_entries(self.bucket(new))).repartition("bucket")
-            held = scratch.put("held", _blocks(after))  # written aside first, as it reads what it replaces
+            gone_rows = ids.select("bucket", "id", F.lit(0).alias("clearance"), F.lit(0).alias("length"), F.lit("").alias("body"), F.lit("").alias("head"), F.lit(True).alias("gone"))
+            after = _rows(self.bucket(new)).unionByName(gone_rows)
+            # Written aside first, as it reads what it replaces.
+            held = scratch.put("held", kept.groupBy("bucket").cogroup(after.groupBy("bucket")).applyInArrow(_invert(self.rows), BLOCKS))
             self._write(held.repartition("bucket"), touched)
             # A bucket that is empty now has no rows to replace its files with.
             for r in touched.join(held.select("bucket").distinct(), "bucket", "left_anti").toLocalIterator():
