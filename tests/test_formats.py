@@ -280,3 +280,16 @@ def test_chunks_are_lossless(spark):
     assert {(r.path, r.total, r.error is None) for r in chunking.file_chunks(frame).collect()} == {("n.md", 2, True), ("x.bin", None, False)}
     sheets = spark.createDataFrame([("f", 0, 50, "rows"), ("f", 1, 80, "rows"), ("f", 2, 10, "text"), ("g", 0, 30, "rows")], "path string, section int, n long, kind string")
     assert {(r.path, r.section) for r in chunking.catalog_cards(sheets, 70).where("card").collect()} == {("f", 1)}
+
+
+def test_an_invoice_reads_the_name_of_each_element_a_few_times(monkeypatch):
+    """Each field looked through all children of its element."""
+    from siltstone.sources.formats import records
+
+    item = '<det nItem="{0}"><prod><cProd>P{0}</cProd><qCom>{0}</qCom><vProd>1.5</vProd><rastro><nLote>L{0}</nLote></rastro></prod></det>'
+    body = f"<NFe><infNFe Id=\"NFe{'7' * 44}\"><ide><nNF>1</nNF></ide>{''.join(item.format(i) for i in range(1, 101))}</infNFe></NFe>"
+    seen, local = [0], records.local
+    monkeypatch.setattr(records, "local", lambda tag: (seen.__setitem__(0, seen[0] + 1), local(tag))[1])
+    v = records.invoice(body.encode())
+    assert [(i["item"], i["code"], i["quantity"], i["batches"][0]["batch"]) for i in v.items] == [(i, f"P{i}", float(i), f"L{i}") for i in range(1, 101)]
+    assert seen[0] < 5 * body.count("</")
