@@ -20,6 +20,8 @@ from . import graph as G
 # Fixed values.
 RELATION_KEYS = ("source", "target", "relation", "doc_id")
 MAX_COUNTERS, MAX_NEIGHBOURS = 8, 24
+#: Documents that go, for each task that takes them out.
+GONE_ROWS = 100_000
 PRIORITIES = (("DIAGNOSED_BY_MML", 0), ("REMEDIATED_BY_MML", 1), ("CONFIGURED_BY_MML", 2), ("DIAGRAM", 3), ("AUTO_HEALING|SWITCHOVER|AFFECTS_NE|CAUSED_BY|CANONICAL", 4))
 KEY_COUNTERS = "RTR|AAD|ADEV|SCTP|THRESHOLD|DELAY|SUCCESS"
 BUCKETS = (("DIAGNOSED_BY_MML", "DIAGNOSED_BY_MML"), ("REMEDIATED_BY_MML|CONFIGURED_BY_MML", "REMEDIATED_BY_MML"), ("MEASURED_BY_COUNTER", "MEASURED_BY_COUNTER"), ("DIAGRAM", "HAS_DIAGRAM"), ("AFFECTS_NE|DEFINES_ALARM|ADAPTATION", "AFFECTS_NE"))
@@ -81,8 +83,12 @@ def sweep(graph: Graph) -> Graph:
 def delete_documents(graph: Graph, gone: DataFrame, orphans: bool = True) -> Graph:
     """Without the documents (doc_id), their postings and relations and, if asked for, entities that nothing names any more."""
     ids = gone.select("doc_id").where("doc_id is not null").distinct()
-    without = lambda t: t.join(ids, "doc_id", "left_anti").select(*t.columns)
-    left = Graph(without(graph.documents), graph.entities, without(graph.postings), without(graph.relations))
+    # Beyond GONE_ROWS both sides are dealt to as many tasks as their number asks for: partitions sized by their compressed bytes hold more rows the better these compress.
+    parts = -(-ids.count() // GONE_ROWS)
+    dealt = lambda t: t.repartition(max(parts, t.sparkSession.sparkContext.defaultParallelism), "doc_id") if parts > 1 else t
+    without = lambda t, own: t.join(own, "doc_id", "left_anti").select(*t.columns)
+    # Relations are left to the optimizer: most have no document, and would meet in one task.
+    left = Graph(without(dealt(graph.documents), dealt(ids)), graph.entities, without(dealt(graph.postings), dealt(ids)), without(graph.relations, ids))
     return sweep(left) if orphans else left
 
 
