@@ -22,6 +22,8 @@ RELATION_KEYS = ("source", "target", "relation", "doc_id")
 MAX_COUNTERS, MAX_NEIGHBOURS = 8, 24
 #: Documents that go, for each task that takes them out.
 GONE_ROWS = 100_000
+#: Documents and entities of both graphs, for each task that merges them.
+MERGED_ROWS = 100_000
 PRIORITIES = (("DIAGNOSED_BY_MML", 0), ("REMEDIATED_BY_MML", 1), ("CONFIGURED_BY_MML", 2), ("DIAGRAM", 3), ("AUTO_HEALING|SWITCHOVER|AFFECTS_NE|CAUSED_BY|CANONICAL", 4))
 KEY_COUNTERS = "RTR|AAD|ADEV|SCTP|THRESHOLD|DELAY|SUCCESS"
 BUCKETS = (("DIAGNOSED_BY_MML", "DIAGNOSED_BY_MML"), ("REMEDIATED_BY_MML|CONFIGURED_BY_MML", "REMEDIATED_BY_MML"), ("MEASURED_BY_COUNTER", "MEASURED_BY_COUNTER"), ("DIAGRAM", "HAS_DIAGRAM"), ("AFFECTS_NE|DEFINES_ALARM|ADAPTATION", "AFFECTS_NE"))
@@ -98,21 +100,23 @@ def purge_prefix(graph: Graph, prefix: str) -> Graph:
 
 
 def merge(left: Graph, right: Graph) -> Graph:
-    """Both graphs as one. Fields of the right count where they are set; of postings, the higher count."""
+    """Both graphs as one. Fields of the right count where they are set; of postings, the higher count.
+
+    Tasks follow the number of documents and entities: partitions sized by their compressed bytes hold more rows the better these compress.
+    """
     seq = lambda t, n: t.withColumn("seq", F.lit(n).cast("long"))
+    parts = -(-sum(t.count() for g in (left, right) for t in (g.documents, g.entities)) // MERGED_ROWS)
+    # Dealt before the aggregates, which sort their rows, so that these are dealt and sorted once and not by what a split of a file holds.
+    dealt = lambda t, *keys: t.repartition(max(parts, t.sparkSession.sparkContext.defaultParallelism), *keys) if parts > 1 else t
+    both_of = lambda name, *keys: dealt(seq(getattr(left, name), 0).unionByName(seq(getattr(right, name), 1)), *keys)
     columns = left.documents.columns
-    both = left.documents.alias("l").join(right.documents.alias("r"), "doc_id", "full_outer")
+    both = dealt(left.documents, "doc_id").alias("l").join(dealt(right.documents, "doc_id").alias("r"), "doc_id", "full_outer")
     documents = both.select("doc_id", *(F.coalesce(F.col(f"r.{c}"), F.col(f"l.{c}")).alias(c) for c in columns if c != "doc_id"))
-    entities = resolve(seq(left.entities, 0).unionByName(seq(right.entities, 1)))
-    postings = seq(left.postings, 0).unionByName(seq(right.postings, 1)).groupBy("doc_id", "norm").agg(F.max("n").alias("n"), F.min_by("context", "seq").alias("context"))
-    return Graph(documents.select(*columns), entities, postings, left.relations.unionByName(right.relations.join(left.relations, _same_keys(right.relations, left.relations), "left_anti")))
-
-
-def _same_keys(a: DataFrame, b: DataFrame) -> Column:
-    same = F.lit(True)
-    for k in RELATION_KEYS:
-        same = same & a[k].eqNullSafe(b[k])
-    return same
+    postings = both_of("postings", "doc_id", "norm").groupBy("doc_id", "norm").agg(F.max("n").alias("n"), F.min_by("context", "seq").alias("context"))
+    # A window, unlike a join, reads the left once and takes nulls for values.
+    known = F.min("seq").over(W.partitionBy(*RELATION_KEYS))
+    relations = both_of("relations", *RELATION_KEYS).withColumn("__known", known).where((F.col("seq") == 0) | (F.col("__known") == 1)).select(*left.relations.columns)
+    return Graph(documents.select(*columns), resolve(both_of("entities", "norm")), postings, relations)
 
 
 # Reads.
