@@ -24,18 +24,29 @@ def test_counts_of_asked_terms(spark, monkeypatch):
     assert R.counted(found.select("id", F.lit("").alias("title"), F.lit("").alias("content")).limit(0), names).count() == 0
 
 
-def test_the_cascade_cuts_its_records_once(spark):
-    """They were cut anew for frequencies, each stage and each ranking, and the counts of each were dealt by term."""
-    reads = spark.sparkContext.accumulator(0)
-
+def _watched(spark, reads):
     def seen(batches):
         for batch in batches:
             reads.add(batch.num_rows)
             yield batch
 
     shape = "id long, doc_identifier string, title string, content string, clearance int"
-    records = spark.createDataFrame([(i, f"D-{i}", f"t{i}", f"alpha beta w{i % 7} gamma w{i % 3}", 0) for i in range(200)], shape).mapInArrow(seen, shape)
+    return spark.createDataFrame([(i, f"D-{i}", f"t{i}", f"alpha beta w{i % 7} gamma w{i % 3}", 0) for i in range(200)], shape).mapInArrow(seen, shape)
+
+
+def test_the_cascade_cuts_its_records_once(spark):
+    """They were cut anew for frequencies, each stage and each ranking, and the counts of each were dealt by term."""
+    reads = spark.sparkContext.accumulator(0)
+    records = _watched(spark, reads)
     asked = spark.createDataFrame([(0, "alpha w3 w2"), (1, "w5 nothing"), (2, "t9")], "question long, text string")
     found = lookup.cascade(records, asked, 3, 3).collect()
     assert {r.question for r in found} == {0, 1, 2} and [r.id for r in found if r.question == 2] == [9]
     assert reads.value <= 3 * 200  # once for its terms, once for the texts of what was found, and a plan's second try
+
+
+def test_names_that_stand_in_no_text_are_not_scored(spark):
+    """Records were cut again for frequencies and ranks of nothing."""
+    reads = spark.sparkContext.accumulator(0)
+    found = lookup.exact_lookup(_watched(spark, reads), spark.createDataFrame([(0, "d-7", "D-7", "state of"), (1, "D-900", "D-900", "")], "question long, raw string, norm string, text string"))
+    assert [(r.question, r.id, r.score, r.source, r["rank"]) for r in found.collect()] == [(0, 7, 0.99, "identifier", 1)]
+    assert reads.value <= 2 * 200  # once for names, once for texts
