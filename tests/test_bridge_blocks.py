@@ -38,3 +38,18 @@ def test_tables_on_the_way_are_removed(spark):
     assert os.path.isdir(where) and frame.count() == 10
     graph.forget(frame)
     assert not os.path.exists(where)
+
+
+def test_a_refresh_deals_stored_terms_once(spark, monkeypatch):
+    """They were joined with the changed topics for each side of each comparison."""
+    old = _topics(spark).where("topic_id % 10 <> 7")
+    companions = spark.createDataFrame([("p0", "p1"), ("p1", "p0"), ("p2", "p0")], "source_package string, target_package string")
+    held = bridges.stored_terms(old).cache()
+    stored = bridges.among(held, companions, 3, 0.5)
+    sides, scored = [], bridges._scored
+    monkeypatch.setattr(bridges, "_scored", lambda left, right, *rest: sides.extend(x._jdf.queryExecution().executedPlan().toString() for x in (left, right)) or scored(left, right, *rest))
+    columns = ("source_id", "target_id", "similarity", "rank")
+    rows = lambda frame: sorted(tuple(r[c] for c in columns) for r in frame.collect())
+    found = rows(bridges.refresh(stored, held, _topics(spark), companions, 3, 0.5))
+    assert len(sides) == 4 and not any("Exchange" in plan for plan in sides)
+    assert found and found == rows(bridges.nearest(_topics(spark), companions, 3, 0.5))
