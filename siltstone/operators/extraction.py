@@ -161,20 +161,20 @@ RELATION_COLUMNS = ("doc_id", "source", "target", "relation", "source_kind", "ta
 def relations(found: DataFrame, to_document: Mapping[str, str], pairs: Sequence[tuple[str, str, str]], id_col: str = "doc_id") -> DataFrame:
     """RELATION_COLUMNS from mentions: each document to its entities by kind, pairs of entities of one document by kinds, and addresses to their ports.
 
-    Pairs join mentions of one document; each side is distinct there, so a document gives at most its kinds' numbers multiplied.
+    Mentions are made once and dealt once, as a row for each document; an entity there meets the document's others in one array.
     """
-    spark = found.sparkSession
-    own = found.select(F.col(id_col).alias("doc_id"), "kind", "norm", "name")
-    named_as = F.element_at(F.create_map(*(F.lit(x) for pair in to_document.items() for x in pair)), F.col("kind"))
-    document = own.where(F.col("kind").isin(*to_document)).select("doc_id", F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("source"), F.col("norm").alias("target"), named_as.alias("relation"), F.lit("document").alias("source_kind"), F.col("kind").alias("target_kind"))
-    ports = own.where("kind = 'ip port'").select("doc_id", F.split("norm", " ")[0].alias("source"), F.split("norm", " ")[1].alias("target"), F.lit("has_port").alias("relation"), F.lit("ip").alias("source_kind"), F.lit("port").alias("target_kind"))
-    out = document.unionByName(ports)
-    if pairs:
-        rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("source_kind"), F.lit(b).alias("target_kind"), F.lit(r).alias("relation")) for a, b, r in pairs))))
-        left = own.select("doc_id", F.col("norm").alias("source"), F.col("kind").alias("source_kind")).join(F.broadcast(rules), "source_kind")
-        right = own.select("doc_id", F.col("norm").alias("target"), F.col("kind").alias("target_kind"))
-        out = out.unionByName(left.join(right, ["doc_id", "target_kind"]).select(*RELATION_COLUMNS))
-    return out.distinct()
+    named_as = F.element_at(F.create_map(*(F.lit(x) for pair in to_document.items() for x in pair)), F.col("x.kind"))
+    of = lambda source, target, relation, *kinds: F.struct(source.alias("source"), target.alias("target"), relation.alias("relation"), *(k.alias(n) for k, n in zip(kinds, ("source_kind", "target_kind"), strict=True)))
+    document = of(F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.col("x.norm"), named_as, F.lit("document"), F.col("x.kind"))
+    port = of(F.split("x.norm", " ")[0], F.split("x.norm", " ")[1], F.lit("has_port"), F.lit("ip"), F.lit("port"))
+    some = lambda test, rows: F.when(test, rows).otherwise(F.array())
+    parts = [some(F.col("x.kind").isin(*to_document), F.array(document)), some(F.col("x.kind") == "ip port", F.array(port))]
+    is_of = lambda kind: lambda y: y["kind"] == kind
+    related = lambda a, b, relation: lambda y: of(F.col("x.norm"), y["norm"], F.lit(relation), F.lit(a), F.lit(b))
+    for a, b, relation in pairs:
+        parts.append(some((F.col("x.kind") == a) & F.col("doc_id").isNotNull(), F.transform(F.filter("all", is_of(b)), related(a, b, relation))))
+    whole = found.select(F.col(id_col).alias("doc_id"), "kind", "norm").groupBy("doc_id").agg(F.collect_set(F.struct("kind", "norm")).alias("all"))
+    return whole.select("doc_id", "all", F.explode("all").alias("x")).select("doc_id", F.inline(F.concat(*parts))).select(*RELATION_COLUMNS).distinct()
 
 
 def entities_in_text(texts: DataFrame, names: Mapping[str, Sequence[str]]) -> DataFrame:
